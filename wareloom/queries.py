@@ -1,0 +1,22 @@
+"""Queries of the core, by name, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wareloom.operators import packed
+from wareloom.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.packed_items(
+        table(spark, sf_dir, "pv_parser", ["row_id", "attributes"]), table(spark, sf_dir, "rag", ["row_id", "blocked_fields"])
+    )
+
+
+QUERIES: dict[str, Query] = {"p5_found": p5_found}
+ORACLE_SQL: dict[str, str] = {}

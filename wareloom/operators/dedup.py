@@ -21,8 +21,8 @@ def greedy_multikey(df: DataFrame, ordinal: str, keys: Sequence[str], rounds: in
     that share a key with them; a round costs one aggregation a key and no pairs. Null keys
     match nothing.
     """
-    left = checkpoint(df.select(F.col(ordinal).alias("ordinal"), *[F.col(k).cast("string").alias(k) for k in keys]))
-    done: DataFrame | None = None
+    rows = checkpoint(df.select(F.col(ordinal).alias("ordinal"), *[F.col(k).cast("string").alias(k) for k in keys]))
+    left, winners = rows, rows.limit(0)
     for _ in range(rounds):
         if left.isEmpty():
             break
@@ -32,21 +32,24 @@ def greedy_multikey(df: DataFrame, ordinal: str, keys: Sequence[str], rounds: in
             lead = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("ordinal").alias(f"_first_{key}"))
             firsts = firsts.join(lead, key, "left")
         leads = reduce(lambda a, b: a & b, [F.col(k).isNull() | (F.col(f"_first_{k}") == F.col("ordinal")) for k in keys])
-        marked = checkpoint(firsts.withColumn("kept", leads))
+        marked = checkpoint(firsts.select("ordinal", *keys, leads.alias("kept")))
         kept = marked.where("kept").select("ordinal", *keys)
-        rest = marked.where("NOT kept").select("ordinal", *keys)
-        for key in keys:
-            taken = kept.where(F.col(key).isNotNull()).select(F.col(key), F.col("ordinal").alias(f"_kept_{key}"))
-            rest = rest.join(taken, key, "left")
-        hit = [F.when(F.col(f"_kept_{k}") < F.col("ordinal"), F.lit(k)) for k in keys]
-        judged = checkpoint(rest.withColumn("reason", F.coalesce(*hit)))
-        settled = kept.select("ordinal", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")).unionByName(
-            judged.where("reason IS NOT NULL").select("ordinal", F.lit(False).alias("kept"), "reason")
-        )
-        done = settled if done is None else done.unionByName(settled)
-        left = judged.where("reason IS NULL").select("ordinal", *keys)
-    empty = left.select("ordinal", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")).limit(0)
-    return (done if done is not None else empty).withColumnRenamed("ordinal", ordinal)
+        winners = winners.unionByName(kept)
+        left = checkpoint(_clashes(marked.where("NOT kept").select("ordinal", *keys), kept, keys).where("reason IS NULL").select("ordinal", *keys))
+    # a kept value is kept once, so these joins add no rows
+    losers = _clashes(rows.join(winners.select("ordinal"), "ordinal", "left_anti"), winners, keys)
+    return (
+        winners.select(F.col("ordinal").alias(ordinal), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason"))
+        .unionByName(losers.select(F.col("ordinal").alias(ordinal), F.lit(False).alias("kept"), "reason"))
+    )
+
+
+def _clashes(rows: DataFrame, kept: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``reason``: the first key that an earlier kept row shares, or null."""
+    for key in keys:
+        taken = kept.where(F.col(key).isNotNull()).select(F.col(key), F.col("ordinal").alias(f"_kept_{key}"))
+        rows = rows.join(taken, key, "left")
+    return rows.select("ordinal", *keys, F.coalesce(*[F.when(F.col(f"_kept_{k}") < F.col("ordinal"), F.lit(k)) for k in keys]).alias("reason"))
 
 
 def first_wins(df: DataFrame, signature: str, ordinal: str) -> DataFrame:

@@ -18,7 +18,7 @@ def query_signals(queries: DataFrame, aliases: DataFrame, concepts: DataFrame) -
     texts have no signals.
     """
     text = F.lower(F.coalesce("text", F.lit("")))
-    base = queries.select("query_id", text.alias("text"))
+    base = queries.select("query_id", text.alias("text"), F.col("text").alias("raw"))
     named = (
         base.join(F.broadcast(aliases), F.expr("contains(text, lower(alias))"))
         .groupBy("query_id")
@@ -33,7 +33,7 @@ def query_signals(queries: DataFrame, aliases: DataFrame, concepts: DataFrame) -
         .select("query_id", F.array_join("c.concept", ",").alias("concepts"))
     )
     return known.join(met, "query_id", "left").select(
-        "query_id", "category", F.coalesce("concepts", F.lit("")).alias("concepts"), F.array_join(figures(F.col("text")), ",").alias("tokens")
+        "query_id", "category", F.coalesce("concepts", F.lit("")).alias("concepts"), F.coalesce(F.array_join(figures(F.col("raw")), ","), F.lit("")).alias("tokens")
     )
 
 

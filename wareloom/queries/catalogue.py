@@ -10,6 +10,7 @@ from wareloom.functions.replies import FIGURE_PATTERN
 from wareloom.functions.text import letters_only
 from wareloom.functions.urls import canonical_url, host_allowed, id_from_path
 from wareloom.operators import census, dedup, facts, packed, review, validate
+from wareloom.plans import curation
 from wareloom.queries.registry import query
 from wareloom.session import table
 
@@ -254,3 +255,22 @@ def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of a whole table; equal for any order and partitioning (tested)."""
     columns = ["row_id", "product_id", "label", "url", "seller_id", "attributes"]
     return review.table_digest(table(spark, sf_dir, "pv_parser", columns), columns)
+
+
+def _funnel(spark: SparkSession, sf_dir: str) -> curation.Funnel:
+    feed = table(spark, sf_dir, "pv_parser", ["row_id", "product_id", "label", "url", "attributes"])
+    labels = table(spark, sf_dir, "feature_library", ["category_l2"]).where("category_l2 IS NOT NULL").distinct()
+    categories = labels.select(F.col("category_l2").alias("label"), F.col("category_l2").alias("category"))
+    sources = {"lora_data": table(spark, sf_dir, "lora_data", ["product_id"]), "rag": table(spark, sf_dir, "rag", ["product_id"])}
+    return curation.curate(feed, categories, curation.standard_rules(), 50, sources)
+
+
+@query()
+def curation_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole funnel; its parts have SQL of their own."""
+    return _funnel(spark, sf_dir).selected.select("row_id", "product_id", "category", "split", "found_in")
+
+
+@query()
+def curation_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _funnel(spark, sf_dir).reasons

@@ -161,8 +161,8 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     open_of = lambda a, b: F.length(F.regexp_replace("body", f"[^\\{a}]", "")) > F.length(F.regexp_replace("body", f"[^\\{b}]", ""))
     json_like = c("body").rlike(r"^\s*[\[{]")
     unclosed = json_like & (open_of(*squares) | open_of(*braces))
-    # brackets of other shapes that the last line leaves open
-    dangling = c("content").rlike(r"[（(【「『“][^）)】」』”]*$") & ~json_like
+    # a bracket left open, or a mark that promises more
+    dangling = (c("content").rlike(r"[（(【「『“][^）)】」』”]*$") | c("last.mark").isin("，", ",", "、")) & ~json_like
     no_mark = c("last.mark") == ""
     seen = c("closings").isNotNull()
     # a reply mended into valid JSON after it broke off
@@ -215,7 +215,7 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
         "truncated": {
             "unclosed": _vote(unclosed | dangling | mended, json_like & ~unclosed & ~mended),
             "unseen_end": _vote(
-                F.when(json_like, unclosed | mended).otherwise(no_mark & ~seen & ~title_like | (c("last.mark").isin("，", ",", "、") & ~json_like)),
+                F.when(json_like, unclosed | mended).otherwise(dangling | (no_mark & ~seen & ~title_like)),
                 F.when(json_like, ~unclosed & ~mended).otherwise(seen | c("last.mark").rlike("[。！!？?.]") | title_like),
             ),
             "missing_parts": _vote(

@@ -139,3 +139,22 @@ def value_gates(df: DataFrame, key: str, field: str, value: str, rules: Sequence
     return judged.withColumn("_r", F.row_number().over(order)).withColumn(
         "gate", F.when((F.col("gate") == "kept") & (F.col("_r") > 1), "repeated").otherwise(F.col("gate"))
     ).drop("_r")
+
+
+def mandatory_status(facts: DataFrame, core: Sequence[str], negative_values: Sequence[str]) -> DataFrame:
+    """Add ``mandatory``: the first that holds of not_core, withheld, identity, negative, else mandatory."""
+    negatives = F.array(*[F.lit(v) for v in negative_values])
+    return facts.withColumn(
+        "mandatory",
+        F.when(~F.col("field").isin(*core), "not_core")
+        .when(F.col("quality") != "usable", "withheld")
+        .when(F.col("role") == "identity", "identity")
+        .when(F.forall(F.split("values", ","), lambda v: F.array_contains(negatives, F.lower(v))), "negative")
+        .otherwise("mandatory"),
+    )
+
+
+def value_shape(value: Column, pattern: str) -> Column:
+    """Whether a whole value has the shape and its leading number, if any, is above zero."""
+    number = F.regexp_extract(value, r"^([0-9]+(?:\.[0-9]+)?)", 1)
+    return F.coalesce(value.rlike(f"^(?:{pattern})$") & ((number == "") | (number.try_cast("double") > 0)), F.lit(False))

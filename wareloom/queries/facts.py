@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareloom.functions.replies import listed_points, reply_status
-from wareloom.operators import facts, grounding, retrieval, validate
+from wareloom.operators import dedup, facts, grounding, paired, retrieval, validate
 from wareloom.queries.registry import query
 from wareloom.session import table
 
@@ -272,3 +272,49 @@ def identity_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("record_id", F.explode(kept).alias("name", "given")).select("record_id", "name", F.array_join("given", ",").alias("item_values"))
 
 
+
+
+@query(
+    f"""WITH {_QUALITY_SQL} SELECT CASE WHEN field NOT IN ('品牌', '功率', '容量', '材质') THEN 'not_core' WHEN quality <> 'usable' THEN 'withheld'
+        WHEN role = 'identity' THEN 'identity' WHEN len(list_filter(string_split(item_values, ','), lambda v: lower(v) NOT IN ('pp', 'abs'))) = 0 THEN 'negative'
+        ELSE 'mandatory' END AS mandatory, field, count(*) AS facts FROM q GROUP BY 1, 2"""
+)
+def mandatory_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = facts.mandatory_status(_quality(spark, sf_dir), ("品牌", "功率", "容量", "材质"), ("pp", "abs"))
+    return marked.groupBy("mandatory", "field").agg(F.count("*").alias("facts"))
+
+
+@query(
+    f"""WITH {_VALUES_SQL} SELECT record_id, value FROM v WHERE name IN ('净重', '重量', '单品重量') AND NOT coalesce(
+        regexp_full_match(value, '[0-9]+(\\.[0-9]+)?(g|kg|克)') AND coalesce(try_cast(regexp_extract(value, '^[0-9]+(\\.[0-9]+)?', 0) AS DOUBLE) > 0, true), false)"""
+)
+def value_shape_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = _values(spark, sf_dir).where(F.col("name").isin("净重", "重量", "单品重量"))
+    return weights.where(~facts.value_shape(F.col("value"), r"[0-9]+(?:\.[0-9]+)?(?:g|kg|克)")).select("record_id", "value")
+
+
+@query(
+    f"""WITH {_PAIRS_SQL} SELECT record_id, name, array_to_string(given, ',') AS item_values FROM pairs
+        WHERE len(list_filter(given, lambda x: lower(x) NOT IN ('abs', 'pp'))) > 0"""
+)
+def active_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _records(spark, sf_dir).select("record_id", F.explode(paired.active_entries(F.col("attributes"), ("abs", "pp"))).alias("name", "given"))
+    return kept.select("record_id", "name", F.array_join("given", ",").alias("item_values"))
+
+
+@query(
+    f"""WITH {_PAIRS_SQL}, k AS (SELECT record_id, name, given, row_number() OVER (PARTITION BY record_id ORDER BY name = '型号' DESC, name) AS r
+        FROM pairs WHERE suffix(name, '型号')) SELECT record_id, given[1] AS model FROM k WHERE r = 1"""
+)
+def model_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _records(spark, sf_dir).select("record_id", paired.first_of_suffix(F.col("attributes"), "型号").alias("model"))
+    return found.where("model IS NOT NULL")
+
+
+@query(
+    f"""WITH {_VALUES_SQL}, f AS (SELECT name, value, min(record_id) AS first FROM v WHERE value IS NOT NULL GROUP BY 1, 2)
+        SELECT name, string_agg(value, '|' ORDER BY first, value) AS item_values FROM f GROUP BY 1"""
+)
+def ordered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup.ordered_values(_values(spark, sf_dir), ["name"], "value", "record_id")
+    return found.select("name", F.array_join("values", "|").alias("item_values"))

@@ -257,3 +257,23 @@ def attribute_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = rows.withColumn("supports", F.col("item_id") % 4 == 0).withColumn("conflicts", F.col("item_id") % 3 == 0)
     more = rows.withColumn("supports", F.col("item_id") % 5 == 0).withColumn("conflicts", F.lit(None).cast("boolean"))
     return rerank.evidence(said.unionByName(more))
+
+
+@query(
+    f"""WITH u AS ({_UNIT}), s AS (SELECT q.vec_id AS query_id, q.product_id = g.product_id AS same_product, coalesce(q.category_l2 = g.category_l2, false) AS same_category,
+          row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT}, 6) DESC, g.vec_id) AS rank FROM u q JOIN u g ON q.vec_id <> g.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, coalesce(bool_or(same_product AND rank = 1), false) AS top1, coalesce(bool_or(same_product AND rank <= 10), false) AS top10,
+               count_if(same_category AND rank <= 10)::BIGINT AS same_category FROM s GROUP BY 1"""
+)
+def smoke_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether another picture of the query's product comes first or in the first ten."""
+    rows = _library(spark, sf_dir)
+    top = retrieval.exact_top_k(rows.where("id % 100 = 0"), rows, 10)
+    about = table(spark, sf_dir, "feature_library", ["vec_id", "product_id", "category_l2"])
+    query_side = about.select(F.col("vec_id").alias("query_id"), F.col("product_id").alias("qp"), F.col("category_l2").alias("qc"))
+    item_side = about.select(F.col("vec_id").alias("item_id"), F.col("product_id").alias("ip"), F.col("category_l2").alias("ic"))
+    joined = top.join(query_side, "query_id").join(item_side, "item_id")
+    hit = F.coalesce(F.col("qp") == F.col("ip"), F.lit(False))
+    return joined.groupBy("query_id").agg(
+        F.bool_or(hit & (F.col("rank") == 1)).alias("top1"), F.bool_or(hit).alias("top10"), F.count_if(F.col("qc") == F.col("ic")).alias("same_category")
+    )

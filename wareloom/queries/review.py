@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.operators import review
+from wareloom.operators import paired, review
 from wareloom.queries.registry import query
 from wareloom.session import table
 
@@ -185,3 +185,42 @@ def audit_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "rag", ["row_id", "product_id", "issue_code", "status", "audit_version"]).where("product_id IS NOT NULL")
     first = lambda v: smallest_by(rows.where(F.col("audit_version") == v), ["product_id"], ["row_id"])
     return review.cell_changes(first("audit_v1"), first("audit_v2"), "product_id", ["issue_code", "status"])
+
+
+@query(
+    """WITH a AS (SELECT product_id, min({'s': status, 'i': issue_code}) AS x FROM rag WHERE audit_version = 'audit_v1' AND product_id IS NOT NULL GROUP BY 1),
+       b AS (SELECT product_id, min({'s': status, 'i': issue_code}) AS x FROM rag WHERE audit_version = 'audit_v2' AND product_id IS NOT NULL GROUP BY 1)
+       SELECT product_id, a.x.s AS status_a, b.x.s AS status_b, a.x.s IS DISTINCT FROM b.x.s AS differs FROM a JOIN b USING (product_id)"""
+)
+def paired_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both audits of a product side by side."""
+    rows = table(spark, sf_dir, "rag", ["product_id", "audit_version", "status"]).where("product_id IS NOT NULL")
+    return paired.pair_variants(rows, "product_id", "audit_version", "audit_v1", "audit_v2", ["status"])
+
+
+@query(
+    """SELECT row_id, trim(title) || CASE WHEN trim(review_note) <> '' THEN chr(10) || trim(review_note) ELSE '' END AS text
+       FROM week2_train_consistency_review WHERE trim(title) <> ''"""
+)
+def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "week2_train_consistency_review", ["row_id", "title", "review_note"]).where("trim(title) <> ''")
+    return rows.select("row_id", paired.joined_text(F.col("title"), F.col("review_note")).alias("text"))
+
+
+@query(
+    """SELECT row_id, CASE WHEN strpos(lower(title), lower(category_l2)) > 0 THEN strpos(lower(title), lower(category_l2)) - 1 ELSE 1000000000 END AS place
+       FROM week2_train_consistency_review"""
+)
+def native_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "week2_train_consistency_review", ["row_id", "title", "category_l2"])
+    return rows.select("row_id", paired.native_position(F.col("title"), F.col("category_l2")).cast("long").alias("place"))
+
+
+@query("SELECT prompt_version, coalesce(printf('%.6f', avg(latency_seconds)), '') AS latency, coalesce(printf('%.6f', avg(generated_tokens)), '') AS tokens FROM smoke_test GROUP BY 1")
+def formatted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as text with six decimals, blank for null."""
+    rows = table(spark, sf_dir, "smoke_test", ["prompt_version", "latency_seconds", "generated_tokens"]).groupBy("prompt_version").agg(
+        F.avg("latency_seconds").alias("a"), F.avg("generated_tokens").alias("b")
+    )
+    text = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.6f", c))
+    return rows.select("prompt_version", text("a").alias("latency"), text("b").alias("tokens"))

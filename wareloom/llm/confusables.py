@@ -113,14 +113,20 @@ class Trie:
         return bare if node and "" in node else None
 
 
-def _unusual() -> str:
-    """Inside of a regular-expression class: characters that have another plain form."""
+@lru_cache(maxsize=1)
+def _unusual_chars() -> str:
+    """Characters that have another plain form, derived from the Unicode database by block."""
     ranges = [(0x00A0, 0x024F), (0x1680, 0x1680), (0x2000, 0x2064), (0x2E80, 0x2FDF), (0x3000, 0x3000),
               (0x3130, 0x318F), (0x3200, 0x33FF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFE00, 0xFE0F),
               (0xFE30, 0xFE4F), (0xFEFF, 0xFEFF), (0xFF01, 0xFFEE), (0x034F, 0x034F), (0x061C, 0x061C),
               (0x180E, 0x180E)]
-    single = [chr(c) for low, high in ranges for c in range(low, high + 1) if _plain_char(chr(c)) != chr(c)]
-    return r"\p{M}" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted({*single, *LOOKALIKES}))
+    found = {chr(c) for low, high in ranges for c in range(low, high + 1) if _plain_char(chr(c)) != chr(c)}
+    return "".join(sorted({*found, *LOOKALIKES, *IGNORABLES}))
+
+
+def is_unusual(col: Column) -> Column:
+    """Whether a text holds a character with another plain form; a table look-up per character."""
+    return (F.translate(col, _unusual_chars(), "") != col) | col.rlike(r"\p{M}")
 
 
 def _tokens(col: Column) -> Column:
@@ -158,12 +164,11 @@ def canonical_texts(df: DataFrame, keys: list[str], text: str, buckets: int = 64
     ``buckets`` is the number of tries; it bounds the part of the vocabulary, not of the
     rows, that one task holds.
     """
-    unusual = f"[{_unusual()}]"
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("text"))
-    plain = rows.where(~F.col("text").rlike(unusual))
-    odd = rows.where(F.col("text").rlike(unusual))
+    plain = rows.where(~is_unusual(F.col("text")))
+    odd = rows.where(is_unusual(F.col("text")))
     words = rows.select(F.explode(_tokens(F.col("text"))).alias("token"))
-    vocabulary = words.groupBy("token").agg(F.count("*").alias("n")).withColumn("unusual", F.col("token").rlike(unusual))
+    vocabulary = words.groupBy("token").agg(F.count("*").alias("n")).withColumn("unusual", is_unusual(F.col("token")))
     spelled = spellings(vocabulary, buckets)
     rebuilt = (
         odd.select(*keys, "text", F.posexplode(_tokens(F.col("text"))).alias("pos", "token"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wareloom.functions.text import drop_ignorables, fold_width
-from wareloom.session import spread
+from wareloom.session import checkpoint, spread
 
 #: Marker of a template field and of an unrendered value.
 SLOT, VOID = "\ue010", "\ue011"
@@ -136,7 +136,7 @@ def score_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     index = exemplar_index(spark, exemplars)
     folded = spread(docs.select(doc_id, text)).where(F.col(text).isNotNull())
     windows = folded.select(F.col(doc_id).alias("doc_id"), F.explode(passages(fold_fields(F.col(text)))).alias("window"))
-    distinct = windows.groupBy("window").agg(F.count("*").alias("times"))
+    distinct = checkpoint(windows.select("window").distinct())
     shingles = distinct.select("window", F.explode(_shingles(F.col("window"))).alias("shingle"))
     total = distinct.agg(F.count("*").alias("n_windows"))
     frequency = shingles.groupBy("shingle").agg(F.count("*").alias("df"))

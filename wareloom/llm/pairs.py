@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom.functions.text import drop_ignorables, fold_width, letters_only, ngrams
-from wareloom.session import spread
+from wareloom.session import checkpoint, spread
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 #: Posterior cutoffs, validated on hand-written pairs in the tests.
@@ -260,7 +260,8 @@ def label_posteriors(pairs: DataFrame) -> DataFrame:
     """
     table, functions = votes(pairs)
     signatures = {defect: F.concat_ws(",", *[F.col(n).cast("string") for n in names]) for defect, names in functions.items()}
-    signed = table.select("record_source", "row_id", *[s.alias(defect) for defect, s in signatures.items()])
+    # read twice, for the counts and for the posteriors
+    signed = checkpoint(table.select("record_source", "row_id", *[s.alias(defect) for defect, s in signatures.items()]))
     stacked = signed.select(F.explode(F.array(*[F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in functions])).alias("v"))
     counted = stacked.groupBy("v.defect", "v.votes").agg(F.count("*").alias("n")).collect()
     out = signed

@@ -139,14 +139,25 @@ def _edges(shape: Column) -> Column:
 
 
 def closed_shapes(feats: DataFrame, least: int = 3) -> DataFrame:
-    """``shape, closings``: clause edges that a mark closes in at least ``least`` replies."""
-    closed = F.filter("clauses", lambda c: (c["body"] != "") & (c["mark"] != ""))
-    return (
-        feats.select(F.explode(F.array_distinct(F.transform(closed, lambda c: _edges(c["body"])))).alias("shape"))
-        .groupBy("shape")
-        .agg(F.count("*").alias("closings"))
-        .where(F.col("closings") >= least)
+    """``shape, closings``: clause edges that close more often than they are left open.
+
+    The last clause of a reply closes only by a sentence mark: the end of a JSON text says
+    nothing, since a reply that broke off may have been mended. Counts of both kinds grow
+    alike with the corpus, so the verdict does not depend on its size.
+    """
+    ended = F.col("last.mark").rlike("[。！!？?.]")
+    bodies = F.transform(F.filter("clauses", lambda c: (c["body"] != "") & (c["mark"] != "")), lambda c: _edges(c["body"]))
+    final = _edges(F.col("last.body"))
+    inner = F.when(ended, bodies).otherwise(F.filter(bodies, lambda b: b != final))
+    said = F.array_union(
+        F.transform(F.array_distinct(inner), lambda b: F.struct(b.alias("shape"), F.lit(1).alias("closed"))),
+        F.when(ended, F.array().cast("array<struct<shape:string,closed:int>>")).otherwise(F.array(F.struct(final.alias("shape"), F.lit(0).alias("closed")))),
     )
+    return (
+        feats.select(F.explode(said).alias("s")).where("s.shape <> ''").groupBy("s.shape")
+        .agg(F.sum("s.closed").alias("closings"), F.sum(1 - F.col("s.closed")).alias("opens"))
+        .where(f"closings >= {least} AND closings > opens").drop("opens")
+    )
 
 
 def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -171,7 +182,7 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     list_like = c("body").rlike(r"^\s*(?:[-·•*]|1[.、)])")
     sections = c("body").rlike("^标题[：:]")
     declines = c("folded").rlike(_any_of(REFUSAL))
-    opener = c("folded").rlike(r"^(?:嗯|您好|说实话|[\s,，。.!！])*(?:" + _any_of(OPENERS) + ")")
+    opener = c("folded").rlike(r"""^(?:嗯|您好|说实话|[\s,，。.!！{\["'])*(?:""" + _any_of(OPENERS) + ")")
     first = c("folded").rlike(_FIRST_PERSON)
     figures = F.regexp_count(c("content"), F.lit(r"[0-9]{2,}")) > 0
     foreign = F.when(c("asked") == "zh", c("latin_words")).otherwise(0)
@@ -196,8 +207,8 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
         "refusal": {
             "declines": _vote(declines),
             "opens": _vote(opener, ~opener & ~declines),
-            "first_person": _vote(first & brief, ~first),
-            "brief_without_figures": _vote(brief & ~figures & (n > 0) & first, figures | json_like | ~brief),
+            "first_person": _vote(first & brief, ~first & ~declines),
+            "brief_without_figures": _vote(brief & ~figures & (n > 0) & (first | declines | opener), figures | ~brief),
         },
         "other_language": {
             "script": _vote(other_script, (c("asked") == "zh") & (c("kana") + c("hangul") + c("cyrillic") == 0) & (foreign < 4)),

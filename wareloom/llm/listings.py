@@ -141,7 +141,7 @@ def profiles(review: DataFrame, lora_data: DataFrame) -> DataFrame:
                 rows.append({"product_id": pid} | parse_listing(title, listed, category))
             yield pd.DataFrame(rows, columns=PARSED_COLUMNS)
 
-    parsed = evidence(review, lora_data).mapInPandas(parse, PARSED)
+    parsed = checkpoint(evidence(review, lora_data).mapInPandas(parse, PARSED))
     # the code most records agree on; ties go to the smaller code
     codes = (
         parsed.where("code IS NOT NULL").groupBy("product_id", "code").agg(F.sum("code_weight").alias("weight"))

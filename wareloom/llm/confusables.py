@@ -37,9 +37,18 @@ _SAME_TO_THE_EYE = ("<wide>", "<narrow>", "<square>", "<noBreak>", "<compat>")
 _BREAK = r"\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000|｜·・,，、;；:：\"{}\[\]【】()（）/\\"
 
 
-@lru_cache(maxsize=65536)
+_FORMS: dict[str, str] = {}
+
+
 def _plain_char(ch: str) -> str:
-    """The table form of one character; empty for an ignorable."""
+    """The table form of one character, remembered; empty for an ignorable."""
+    form = _FORMS.get(ch)
+    if form is None:
+        form = _FORMS[ch] = _fold_char(ch)
+    return form
+
+
+def _fold_char(ch: str) -> str:
     if ch in IGNORABLES:
         return ""
     if ch in ODD_BLANKS:

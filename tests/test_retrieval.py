@@ -9,7 +9,9 @@ from wareloom.functions import vectors as V
 from wareloom.operators import rerank, retrieval
 
 
-def test_top_k_matches_numpy_with_ties_and_bad_vectors(spark):
+@pytest.mark.parametrize("block_values", [8_000_000, 20])
+def test_top_k_matches_numpy_with_ties_and_bad_vectors(spark, monkeypatch, block_values):
+    monkeypatch.setattr(retrieval, "BROADCAST_VALUES", block_values)
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((60, 8)).astype(float)
     vectors[7] = vectors[3]

@@ -18,24 +18,31 @@ def exact_top_k(queries: DataFrame, gallery: DataFrame, k: int, dim: int = 64, e
     """``query_id, item_id, score, rank``: the ``k`` best of the gallery for each query.
 
     Both sides have ``id, embedding``. Scores are cosines rounded to 6 decimals, ties go to
-    the smaller id. The stated query set is compared with all gallery rows in one pass over
-    the gallery; each gallery partition keeps its own best rows before the shuffle. Unusable
-    vectors of either side take no part.
+    the smaller id. The stated query set is compared with all gallery rows in blocks of at
+    most ``BROADCAST_VALUES`` numbers, one pass over the gallery a block; each gallery
+    partition keeps its own best rows before the shuffle. Unusable vectors of either side
+    take no part.
     """
     def fit(df: DataFrame, id_name: str, vector: str) -> DataFrame:
         sound = df.select(F.col("id").alias(id_name), V.doubles(F.col("embedding")).alias("v")).where(V.usable(F.col("v"), dim))
         return sound.select(id_name, V.normalise(F.col("v")).alias(vector))
 
     asked, stored = fit(queries, "query_id", "q"), fit(gallery, "item_id", "g")
-    if asked.count() * dim > BROADCAST_VALUES:
-        raise ValueError("too many queries for one pass: search them in blocks")
-    block = asked.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-    scored = stored.crossJoin(F.broadcast(block)).select("item_id", "g", F.explode("block").alias("b")).select(
-        F.col("b.query_id").alias("query_id"), "item_id", F.round(V.dot(F.col("b.q"), F.col("g")), 6).alias("score")
-    )
-    others = scored.where("query_id <> item_id") if exclude_self else scored
+    blocks = max(1, -(-asked.count() * dim // BROADCAST_VALUES))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def search(part: DataFrame) -> DataFrame:
+        block = part.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
+        scored = stored.crossJoin(F.broadcast(block)).select("item_id", "g", F.explode("block").alias("b")).select(
+            F.col("b.query_id").alias("query_id"), "item_id", F.round(V.dot(F.col("b.q"), F.col("g")), 6).alias("score")
+        )
+        others = scored.where("query_id <> item_id") if exclude_self else scored
+        return others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    found = search(asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == 0))
+    for block_no in range(1, blocks):
+        found = found.unionByName(search(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block_no)))
+    return found
 
 
 def ranking_metrics(ranking: DataFrame, ideal: DataFrame, k: int, relevant: int = 1) -> DataFrame:

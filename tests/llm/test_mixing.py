@@ -45,6 +45,33 @@ def test_selection_meets_shares_and_caps(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, selection.collect()))
 
 
+def test_a_weightless_or_full_leaf_keeps_no_tokens_from_others():
+    tree = mixing.Node("", 1, children=[mixing.Node("d1", 0.5, children=[mixing.Node("a", 1, 10), mixing.Node("b", 0, 1000)]), mixing.Node("c", 0.5, 1000)])
+    assert mixing.hand_down(tree, 200) == pytest.approx({"a": 10, "b": 0, "c": 190})
+    assert mixing.wanted_tokens(tree, 200) == pytest.approx({"a": 100, "b": 0, "c": 100})
+    gone = mixing.Node("", 1, children=[mixing.Node("a", 0.5, 0), mixing.Node("b", 0.3, 60), mixing.Node("c", 0.2, 60)])
+    assert mixing.largest_total(gone) == pytest.approx(100)
+
+
+@needs_file
+def test_a_source_with_a_share_and_no_documents_is_filled_up_by_the_others(spark):
+    rows = [(i, "big", f"词语 number {i} " * 5) for i in range(300)] + [(1000 + i, "scarce", f"说明 {i} " * 4) for i in range(10)]
+    docs = spark.createDataFrame(rows + [(2000 + i, "mid", f"text {i} " * 6) for i in range(200)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("scarce", 0.2, 2), ("mid", 0.2, 3), ("absent", 0.2, 4)], "source string, target_share double, max_repeats int")
+    for options in ({}, {"all_usable": True}, {"total_tokens": 3000}):
+        selection, report = mixing.mix(docs, targets, FILE, **options)
+        got = {r["source"]: r for r in report.collect()}
+        assert got["absent"]["selected_tokens"] == 0 and got["absent"]["shortage_tokens"] == got["absent"]["target_tokens"] > 0
+        assert all(r["max_use"] <= r["max_repeats"] for r in got.values())
+        total = sum(r["selected_tokens"] for r in got.values())
+        assert total > 0 and sum(r["actual_share"] for r in got.values()) == pytest.approx(1.0)
+        wanted = 3000 if "total_tokens" in options else sum(r["available_tokens"] for r in got.values()) if options else total
+        assert total == pytest.approx(wanted, rel=0.02)
+    # "scarce" fills what it can and the two others share the rest as 2 to 1, as far as they go
+    assert got["scarce"]["selected_tokens"] == min(600, 2 * got["scarce"]["available_tokens"])
+    assert got["big"]["selected_tokens"] == pytest.approx(2 * got["mid"]["selected_tokens"], rel=0.05)
+
+
 @needs_file
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")

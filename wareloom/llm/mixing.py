@@ -42,7 +42,8 @@ class Node:
     children: list["Node"] = field(default_factory=list)
 
     def room(self) -> float:
-        return sum(c.room() for c in self.children) if self.children else self.capacity
+        """Tokens that can be placed below; a child without weight is given none."""
+        return sum(c.room() for c in self.children if c.weight > 0) if self.children else self.capacity
 
 
 def hand_down(node: Node, budget: float) -> dict[str, float]:
@@ -56,11 +57,13 @@ def hand_down(node: Node, budget: float) -> dict[str, float]:
         full, spent = [], 0.0
         for child in open_children:
             share = left * child.weight / weight
-            take = min(share, child.room() - given[id(child)])
-            given[id(child)] += take
-            spent += take
-            if child.room() - given[id(child)] <= 1e-9:
+            free = child.room() - given[id(child)]
+            if share >= free:
                 full.append(child)
+                given[id(child)] = child.room()
+            else:
+                given[id(child)] += share
+            spent += min(share, free)
         left -= spent
         if not full:
             break
@@ -72,13 +75,29 @@ def hand_down(node: Node, budget: float) -> dict[str, float]:
     return budgets
 
 
+def wanted_tokens(node: Node, budget: float) -> dict[str, float]:
+    """The leaves' shares of ``budget`` by weight alone, whatever they can fill."""
+    if not node.children:
+        return {node.name: budget}
+    total = sum(c.weight for c in node.children if c.weight > 0) or 1.0
+    shares: dict[str, float] = {}
+    for child in node.children:
+        for name, tokens in wanted_tokens(child, budget * max(child.weight, 0.0) / total).items():
+            shares[name] = shares.get(name, 0.0) + tokens
+    return shares
+
+
 def largest_total(node: Node) -> float:
-    """The largest budget at which every target share is met without handing anything over."""
+    """The largest budget at which every leaf that has anything gets its target share.
+
+    A leaf without tokens meets its share at no budget; it is left to ``hand_down``.
+    """
     def scale(at: Node, share: float) -> float:
         if not at.children:
             return at.capacity / share if share > 0 else math.inf
-        total = sum(c.weight for c in at.children) or 1.0
-        return min((scale(c, share * c.weight / total) for c in at.children if c.weight > 0), default=math.inf)
+        filled = [c for c in at.children if c.weight > 0 and c.room() > 0]
+        total = sum(c.weight for c in filled) or 1.0
+        return min((scale(c, share * c.weight / total) for c in filled), default=math.inf)
 
     best = scale(node, 1.0)
     return 0.0 if math.isinf(best) else best
@@ -143,16 +162,21 @@ def _running(df: DataFrame, bins: int = 4096) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: DataFrame, tokenizer_file: str, total_tokens: float | None = None, seed: int = SEED,
-        tree: dict[str, tuple[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+        tree: dict[str, tuple[str, float]] | None = None, all_usable: bool = False) -> tuple[DataFrame, DataFrame]:
     """Selection and report.
 
     ``docs``: ``doc_id, source, text``; ``targets``: ``source, target_share, max_repeats``.
     ``tree`` places sources below named domains with the domain's share; without it all
-    sources are siblings. ``total_tokens`` defaults to the largest total at which all shares
-    can be met. Documents without source or text, or of a source without target, stay out.
+    sources are siblings. ``total_tokens`` is the budget; with ``all_usable`` it is as many
+    tokens as the documents of all targets have, with neither the largest total at which the
+    shares of all sources that have documents are met. What a source cannot fill within its
+    repeats is handed down to the others. Documents without source or text, or of a source
+    without target, stay out.
 
     Selection: ``doc_id, source, epoch, n_tokens``. Report: per target ``source,
-    target_share, actual_share, selected_tokens, available_tokens, max_use, tokenizer``.
+    target_share, actual_share, target_tokens, selected_tokens, shortage_tokens,
+    available_tokens, max_repeats, max_use, tokenizer``; the shortage is what the source
+    cannot fill of its target, handed to others.
     Targets are a small declared table (one row a source) and are read to the driver.
     """
     spark = docs.sparkSession
@@ -173,13 +197,19 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer_file: str, total_tokens:
         else:
             top.children.append(leaf)
     top.children += by_domain.values()
-    budget = total_tokens if total_tokens is not None else largest_total(top)
-    budgets = hand_down(top, budget)
+    if total_tokens is not None:
+        budget = float(total_tokens)
+    elif all_usable:
+        budget = float(sum(have.get(r["source"], 0) or 0 for r in rows if (r["target_share"] or 0) > 0 and r["max_repeats"] > 0))
+    else:
+        budget = largest_total(top)
+    budgets, shares = hand_down(top, budget), wanted_tokens(top, budget)
     plan = [
-        (r["source"], float(budgets.get(r["source"], 0.0)), int(r["max_repeats"]), int(have.get(r["source"], 0) or 0), float(r["target_share"] or 0))
+        (r["source"], float(budgets.get(r["source"], 0.0)), int(r["max_repeats"]), int(have.get(r["source"], 0) or 0), float(r["target_share"] or 0),
+         float(shares.get(r["source"], 0.0)))
         for r in rows
-    ]
-    schema = "source string, budget double, max_repeats int, available long, target_share double"
+    ]
+    schema = "source string, budget double, max_repeats int, available long, target_share double, target_tokens double"
     leaves = spark.createDataFrame(plan, T._parse_datatype_string(schema))
     epochs = F.least("max_repeats", F.ceil(F.col("budget") / F.greatest(F.col("available"), F.lit(1))).cast("int"))
     drawn = (
@@ -197,7 +227,9 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer_file: str, total_tokens:
     report = filled.withColumn("all_tokens", F.sum("selected_tokens").over(W.partitionBy(F.lit(1)))).select(
         "source", "target_share",
         F.when(F.col("all_tokens") > 0, F.col("selected_tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"),
-        "selected_tokens", F.col("available").alias("available_tokens"), "max_repeats", "max_use",
+        F.round("target_tokens").cast("long").alias("target_tokens"), "selected_tokens",
+        F.round(F.greatest(F.lit(0.0), F.col("target_tokens") - F.col("available") * F.greatest("max_repeats", F.lit(0)))).cast("long").alias("shortage_tokens"),
+        F.col("available").alias("available_tokens"), "max_repeats", "max_use",
         F.lit(os.path.basename(tokenizer_file)).alias("tokenizer"),
     )
     return selection, report

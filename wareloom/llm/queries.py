@@ -78,8 +78,9 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The budget is all usable tokens: short sources are filled up by the others, none is cut to the scarcest."""
     docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), os.path.join(mixing.TOKENIZER_FOLDER, mixing.TOKENIZER_FILE))
+    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), os.path.join(mixing.TOKENIZER_FOLDER, mixing.TOKENIZER_FILE), all_usable=True)
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from wareloom.llm import listings
 
@@ -51,6 +54,32 @@ def test_copies_larger_than_a_window_and_a_third_of_all_rows(spark):
     assert len(groups) == 100
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_every_pair_that_aligns_is_met_in_a_hot_series(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        series = ["雾山海"] if rng.random() < 0.7 else rng.sample(["雾山海", "杏粟涵", "云"], rng.randrange(3))
+        figures = sorted(f"{d}:{rng.randrange(3)}" for d in rng.sample(["g", "w", "ml", "mm"], rng.randrange(5)))
+        code = f"AB{i:04}CD" if rng.random() < 0.6 else None
+        rows.append((f"n{i}", code, rng.random() < 0.1, rng.choice([[], ["北苔"], ["薇摩岚"]]), sorted(series), figures, 1))
+    schema = "node string, code string, accessory boolean, brands array<string>, series array<string>, figures array<string>, n bigint"
+    folded = spark.createDataFrame(rows, schema)
+    body = F.struct(*folded.columns)
+    everything = folded.select(body.alias("a")).crossJoin(folded.select(body.alias("b"))).where("a.node < b.node")
+    want = {(r["a"], r["b"], r["w"]) for r in everything.select("a.node", F.col("b.node").alias("other"), listings._alignment("a", "b").alias("w")).where("w > 0").toDF("a", "b", "w").collect()}
+    assert {(r["a"], r["b"], r["weight"]) for r in listings.compare(folded, window=4, block=16).collect()} == want and len(want) > 150
+    assert listings.compare(folded.limit(0)).count() == 0
+
+
+def test_listings_with_some_figures_meet_their_product_in_a_hot_series(spark):
+    titles = [(f"c{i:03}", f"北苔 雾山海 {100 + i % 9}g {200 + i % 7}W {300 + i // 3}ml {400 + i}毫安 AB{i:04}CD 台灯", None, "桌面台灯") for i in range(90)]
+    titles += [(f"n{i:03}", f"北苔 雾山海 {400 + i}毫安 {300 + i // 3}ml 台灯", None, "桌面台灯") for i in range(0, 90, 3)]
+    sets = [("c000", {"品牌": ["北苔"], "系列": ["雾山海"]}, "桌面台灯")]
+    groups = {r["product_id"]: r["group_id"] for r in listings.listing_groups(review(spark, titles), lora(spark, sets)).collect()}
+    assert all(groups[f"n{i:03}"] == groups[f"c{i:03}"] for i in range(0, 90, 3))
+
+
 def test_empty_tables(tables):
     review_rows, sets = tables
     assert listings.listing_groups(review_rows.limit(0), sets.limit(0)).count() == 0

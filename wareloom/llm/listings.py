@@ -6,7 +6,9 @@ article. Equal profiles are folded into one before anything is compared, so a gr
 copies costs one profile whatever its size. The profiles are sorted by several keys with
 different token orders (multi-pass sorted neighbourhood); in each pass a sliding window
 compares neighbours by a soft alignment of their tokens, which yields positive and negative
-edges; a parallel pivot correlation clustering turns the edges into groups.
+edges; where a series has more profiles than a window, passes keyed by series and stated
+figures compare all that can align; a parallel pivot correlation clustering turns the edges
+into groups.
 """
 
 from __future__ import annotations
@@ -271,7 +273,44 @@ def _alignment(a: str, b: str) -> Column:
     )
 
 
-def compare(folded: DataFrame, window: int = 12) -> DataFrame:
+def _long_runs(folded: DataFrame, window: int, block: int) -> DataFrame:
+    """Pairs ``a, b`` that may align and that a window may miss: at least one of them has no code.
+
+    They lie in a series of more nodes than a window, or of a node with several series. A
+    node is kept under its series and each figure and each pair of figures; it asks with one
+    key only, the rarest of its pairs (its figure, if it has one), since whatever states all
+    its figures is kept there. Accessories align without figures and meet by series. Nodes
+    under one key are cut into blocks on both sides, so no key can swell a task.
+    """
+    body = F.struct("node", "code", "accessory", "brands", "series", "figures")
+    told = folded.select(F.explode("series").alias("name"), "node", "accessory", "figures", F.col("code").isNotNull().alias("coded"), body.alias("row"))
+    wide = told.groupBy("name").agg(F.count("*").alias("nodes"), F.max(F.size("row.series")).alias("most")).where((F.col("nodes") > window) | (F.col("most") > 1))
+    told = checkpoint(told.join(wide.select("name"), "name", "left_semi"))
+    following = lambda f, i: F.transform(F.slice("figures", i + 2, F.size("figures")), lambda g: F.concat_ws("|", f, g))
+    pairs = F.flatten(F.transform("figures", following))
+    alike = F.array(F.lit("accessory"))
+    held = told.select("name", "node", "row", F.col("coded").alias("side"), F.explode(F.when(F.col("accessory"), alike).otherwise(F.concat("figures", pairs))).alias("key"))
+    keys = F.when(F.col("accessory"), alike).when(F.size("figures") > 1, pairs).otherwise(F.col("figures"))
+    # two nodes with codes never align
+    sides = F.when(F.col("coded"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    at = ["name", "key", "side"]
+    kept = checkpoint(held.groupBy(*at).agg(F.count("*").alias("kept")))
+    asked = told.select("name", "node", "row", sides.alias("sides"), F.explode(keys).alias("key")).select("name", "node", "row", "key", F.explode("sides").alias("side"))
+    rarest = (
+        asked.join(kept, at).groupBy("name", "node", "key").agg(F.sum("kept").alias("meets"))
+        .groupBy("name", "node").agg(F.min_by("key", F.struct("meets", "key")).alias("key"))
+    )
+    asking = checkpoint(asked.join(rarest, ["name", "node", "key"], "left_semi"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    cells = kept.join(asking.groupBy(*at).agg(F.count("*").alias("asking")), at).select(*at, blocks("kept").alias("across"), blocks("asking").alias("down"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = asking.join(cells, at).select(*at, F.col("row").alias("a"), own("down").alias("y"), every("across").alias("x"))
+    b = held.join(cells, at).select(*at, F.col("row").alias("b"), own("across").alias("x"), every("down").alias("y"))
+    return a.join(b, [*at, "x", "y"]).where("a.node <> b.node").select("a", "b")
+
+
+def compare(folded: DataFrame, window: int = 12, block: int = 2048) -> DataFrame:
     """``a, b, weight``: positive edges of all passes, once each."""
     series, brands, figures = F.array_join("series", " "), F.array_join("brands", " "), F.array_join("figures", " ")
     code = F.coalesce("code", F.lit(""))
@@ -282,8 +321,8 @@ def compare(folded: DataFrame, window: int = 12) -> DataFrame:
         F.concat_ws("|", figures, series, brands, code),
     ]
     edges = None
-    for key in keys:
-        scored = _neighbours(folded, key, window).select("a.node", F.col("b.node").alias("other"), _alignment("a", "b").alias("weight"))
+    for met in [*(_neighbours(folded, key, window, block) for key in keys), _long_runs(folded, window, block)]:
+        scored = met.select("a.node", F.col("b.node").alias("other"), _alignment("a", "b").alias("weight"))
         edges = scored if edges is None else edges.unionByName(scored)
     return (
         edges.where("weight > 0")

@@ -80,6 +80,16 @@ def test_listings_with_some_figures_meet_their_product_in_a_hot_series(spark):
     assert all(groups[f"n{i:03}"] == groups[f"c{i:03}"] for i in range(0, 90, 3))
 
 
+def test_clusters_settle_a_chain_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(listings, "checkpoint", lambda df: spark.createDataFrame(df.toArrow()))
+    # a path whose nodes come in the order of their ranks settles two nodes a round
+    nodes = spark.range(70).select(F.concat(F.lit("n"), "id").alias("node"), F.lit(None).cast("string").alias("code"))
+    path = [r["node"] for r in nodes.orderBy(F.lpad(F.hex(F.xxhash64("node")), 16, "0")).collect()]
+    edges = spark.createDataFrame([(*sorted(pair), 1.0) for pair in zip(path, path[1:])], "a string, b string, weight double")
+    got = {r["node"]: r["cluster"] for r in listings.pivot_clusters(nodes.coalesce(1), edges.coalesce(1)).collect()}
+    assert got == {node: path[i - i % 2] for i, node in enumerate(path)}
+
+
 def test_empty_tables(tables):
     review_rows, sets = tables
     assert listings.listing_groups(review_rows.limit(0), sets.limit(0)).count() == 0

@@ -34,6 +34,15 @@ def test_greedy_keeps_what_only_a_dropped_row_shares(spark):
     assert dedup.greedy_multikey(spark.createDataFrame([], "o bigint, f string"), "o", ["f"]).count() == 0
 
 
+def test_greedy_settles_a_chain_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "checkpoint", lambda df: spark.createDataFrame(df.toArrow()))  # local rows: quicker rounds
+    # each row shares one key with the row before and the other with the row after
+    rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(206)]
+    df = spark.createDataFrame(rows, "ordinal bigint, k0 string, k1 string").coalesce(1)
+    got = {r["ordinal"]: (r["kept"], r["reason"]) for r in dedup.greedy_multikey(df, "ordinal", ["k0", "k1"]).collect()}
+    assert got == sequential(rows)
+
+
 def test_near_pairs_match_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(12)]

@@ -331,12 +331,13 @@ def compare(folded: DataFrame, window: int = 12, block: int = 2048) -> DataFrame
     )
 
 
-def pivot_clusters(folded: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
+def pivot_clusters(folded: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, cluster``: correlation clustering by parallel random pivots.
 
     In each round the nodes that come before all their remaining neighbours become pivots,
     and their neighbours join the pivot they agree with most. Nodes with a code come first:
     two of them never agree, so a listing without a code joins one and cannot merge two.
+    The first node that is left is always a pivot, so rounds end when none is left.
     """
     ranked = folded.select("node", F.concat(F.col("code").isNull().cast("int").cast("string"), F.lpad(F.hex(F.xxhash64("node")), 16, "0")).alias("rank"))
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
@@ -344,10 +345,8 @@ def pivot_clusters(folded: DataFrame, edges: DataFrame, rounds: int = 30) -> Dat
     alone = ranked.join(linked, "node", "left_anti").select("node", F.col("node").alias("cluster"))
     left = checkpoint(ranked.join(linked, "node", "left_semi"))
     both = checkpoint(both)
-    done = alone
-    for _ in range(rounds):
-        if left.isEmpty():
-            return done
+    done, number = alone, 0
+    while not left.isEmpty():
         open_edges = both.join(left.select(F.col("node").alias("a"), F.col("rank").alias("rank_a")), "a").join(
             left.select(F.col("node").alias("b"), F.col("rank").alias("rank_b")), "b"
         )
@@ -359,9 +358,10 @@ def pivot_clusters(folded: DataFrame, edges: DataFrame, rounds: int = 30) -> Dat
             .agg(F.max_by("b", F.struct("weight", F.col("b"))).alias("cluster"))
         )
         settled = checkpoint(pivots.select("node", F.col("node").alias("cluster")).unionByName(joined))
-        done = done.unionByName(settled)
+        done = checkpoint(done.unionByName(settled)) if number % 20 == 19 else done.unionByName(settled)
+        number += 1
         left = checkpoint(left.join(settled.select("node"), "node", "left_anti"))
-    return done.unionByName(left.select("node", F.col("node").alias("cluster")))
+    return done
 
 
 def listing_groups(review: DataFrame, lora_data: DataFrame, window: int = 12) -> DataFrame:

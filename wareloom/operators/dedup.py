@@ -12,20 +12,18 @@ from pyspark.sql import Window as W
 from wareloom.session import checkpoint
 
 
-def greedy_multikey(df: DataFrame, ordinal: str, keys: Sequence[str], rounds: int = 100) -> DataFrame:
+def greedy_multikey(df: DataFrame, ordinal: str, keys: Sequence[str]) -> DataFrame:
     """First row wins over several keys: ``ordinal, kept, reason``.
 
     A row is dropped if and only if it shares a key with a row already kept, and ``reason``
     is the first such key. This depends on the order, so dropping duplicates key by key is
     wrong. Each round keeps the rows that come first under all of their keys and drops those
-    that share a key with them; a round costs one aggregation a key and no pairs. Null keys
-    match nothing.
+    that share a key with them; a round costs one aggregation a key and no pairs. The first
+    open row is always kept, so rounds end when nothing is open. Null keys match nothing.
     """
     rows = checkpoint(df.select(F.col(ordinal).alias("ordinal"), *[F.col(k).cast("string").alias(k) for k in keys]))
-    left, winners = rows, rows.limit(0)
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left, winners, done = rows, rows.limit(0), 0
+    while not left.isEmpty():
         # the first row of every key value that is still open
         firsts = left
         for key in keys:
@@ -34,7 +32,8 @@ def greedy_multikey(df: DataFrame, ordinal: str, keys: Sequence[str], rounds: in
         leads = reduce(lambda a, b: a & b, [F.col(k).isNull() | (F.col(f"_first_{k}") == F.col("ordinal")) for k in keys])
         marked = checkpoint(firsts.select("ordinal", *keys, leads.alias("kept")))
         kept = marked.where("kept").select("ordinal", *keys)
-        winners = winners.unionByName(kept)
+        winners = checkpoint(winners.unionByName(kept)) if done % 20 == 19 else winners.unionByName(kept)
+        done += 1
         left = checkpoint(_clashes(marked.where("NOT kept").select("ordinal", *keys), kept, keys).where("reason IS NULL").select("ordinal", *keys))
     # a kept value is kept once, so these joins add no rows
     losers = _clashes(rows.join(winners.select("ordinal"), "ordinal", "left_anti"), winners, keys)

@@ -5,7 +5,7 @@ normalised tokens: model code with suffix, brand, series, figures in base units,
 article. Equal profiles are folded into one before anything is compared, so a group of
 copies costs one profile whatever its size. The profiles are sorted by several keys with
 different token orders (multi-pass sorted neighbourhood); in each pass a sliding window
-compares neighbours by a soft alignment of their tokens, which yields positive and negative
+compares neighbours by an alignment of their exact tokens, which yields positive and negative
 edges; where a series has more profiles than a window, passes keyed by series and stated
 figures compare all that can align; a parallel pivot correlation clustering turns the edges
 into groups.
@@ -250,7 +250,7 @@ def _neighbours(df: DataFrame, key: Column, window: int, block: int = 2048) -> D
 
 
 def _alignment(a: str, b: str) -> Column:
-    """Soft alignment of two profiles: 1 for the same product, negative for different ones.
+    """Alignment of two profiles by exact tokens: 1 for the same product, negative for different ones.
 
     Figures align when one side's are among the other's and at least two agree; a dimension
     that both state with nothing in common speaks against. Series align exactly, since the

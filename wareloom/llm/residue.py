@@ -46,7 +46,7 @@ _INSIDE = r"[^{}<>%$#@\[\]【】，。；！？\n]{1,30}"
 _NAME = r"[\p{L}_][\p{L}\p{N}._]{0,28}"
 SLOT_PATTERNS = (
     rf"\{{\{{\s*{_INSIDE}\s*\}}\}}", rf"\{{%\s*{_INSIDE}\s*%\}}", rf"<%=?\s*{_INSIDE}\s*%>", rf"[$#]\{{\s*{_INSIDE}\s*\}}",
-    rf"\[\[\s*{_INSIDE}\s*\]\]", rf"@@{_INSIDE}@@", rf"__{_NAME}__", rf"【请?(?:填写|输入|选择){_INSIDE}】", rf"\{{\s*{_INSIDE}\s*\}}",
+    rf"\[\[\s*{_INSIDE}\s*\]\]", rf"@@{_INSIDE}@@", rf"__{_NAME}?__", rf"【请?(?:填写|输入|选择){_INSIDE}】", rf"\{{\s*{_INSIDE}\s*\}}",
     rf"(?<![0-9])%{_NAME}%(?![0-9])", rf"(?<![0-9A-Za-z])\${_NAME}\$(?![0-9])", rf"<{_NAME}>", rf"\[{_NAME}\]",
 )
 #: Spellings of a value that was never rendered (fixed values).
@@ -119,7 +119,7 @@ def passages(col: Column) -> Column:
     mark that parts it from the next sentence.
     """
     mark, other = f"[{SLOT}{VOID}]", f"[^{SLOT}{VOID}]"
-    parts = F.split(col, r"[。！？!?；;\n]+|(?<=[a-zа-я)])\.(?=\s|$)")
+    parts = F.split(col, r"[。！？!?；;\n]+|(?<=[a-zа-я)0-9])\.(?=\s|$)")
     run = f"^({other}*)({mark}{other}*{mark}.*{mark})({other}*)$"
     parts = F.flatten(F.transform(parts, lambda p: F.split(F.regexp_replace(p, run, "$1\n$2\n$3"), "\n")))
     clean = F.transform(parts, lambda p: F.regexp_replace(p, r"[\s\p{P}\p{S}&&[^" + SLOT + VOID + r"]]+", " "))
@@ -168,7 +168,8 @@ def score_windows(distinct: DataFrame, exemplars: dict[str, tuple[str, ...]] | N
     """
     spark = distinct.sparkSession
     index = exemplar_index(spark, exemplars)
-    tokens = distinct.select("wid", F.explode(_tokens(F.col("window"))).alias("t")).select("wid", "t.token", "t.tf")
+    cut = lambda df: df.select("wid", F.explode(_tokens(F.col("window"))).alias("t")).select("wid", "t.token", "t.tf")
+    tokens = cut(distinct)
     total = distinct.agg(F.count("*").alias("n_windows"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     weights = frequency.crossJoin(F.broadcast(total)).select("token", F.log1p(F.col("n_windows") / F.col("df")).alias("idf"))
@@ -185,7 +186,7 @@ def score_windows(distinct: DataFrame, exemplars: dict[str, tuple[str, ...]] | N
         .where(F.col("shared_w") >= HELD * F.col("exemplar_w")).select("wid", "exemplar", "kind")
     )
     near = checkpoint(near)
-    met = checkpoint(tokens.join(near.select("wid").distinct(), "wid", "left_semi").join(weights, "token").select("wid", "token", (F.col("idf") * F.col("tf")).alias("w")))
+    met = checkpoint(cut(distinct.join(near.select("wid").distinct(), "wid", "left_semi")).join(weights, "token").select("wid", "token", (F.col("idf") * F.col("tf")).alias("w")))
     # a window may string several exemplars of a kind together: its cover is by kind
     kinds = list(exemplars or EXEMPLARS)
     bank = known.select("exemplar", "token")

@@ -172,7 +172,7 @@ def score_windows(distinct: DataFrame, exemplars: dict[str, tuple[str, ...]] | N
     tokens = cut(distinct)
     total = distinct.agg(F.count("*").alias("n_windows"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    weights = frequency.crossJoin(F.broadcast(total)).select("token", F.log1p(F.col("n_windows") / F.col("df")).alias("idf"))
+    weights = checkpoint(frequency.crossJoin(F.broadcast(total)).select("token", F.log1p(F.col("n_windows") / F.col("df")).alias("idf")))
     # a token of the bank that the corpus lacks weighs as one that occurs once
     known = checkpoint(
         index.join(weights, "token", "left").crossJoin(F.broadcast(total))

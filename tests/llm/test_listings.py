@@ -67,8 +67,13 @@ def test_every_pair_that_aligns_is_met_in_a_hot_series(spark, seed):
     folded = spark.createDataFrame(rows, schema)
     body = F.struct(*folded.columns)
     everything = folded.select(body.alias("a")).crossJoin(folded.select(body.alias("b"))).where("a.node < b.node")
-    want = {(r["a"], r["b"], r["w"]) for r in everything.select("a.node", F.col("b.node").alias("other"), listings._alignment("a", "b").alias("w")).where("w > 0").toDF("a", "b", "w").collect()}
-    assert {(r["a"], r["b"], r["weight"]) for r in listings.compare(folded, window=4, block=16).collect()} == want and len(want) > 150
+    scored = everything.select("a.node", F.col("b.node").alias("other"), listings._alignment("a", "b").alias("w"), F.expr("size(array_intersect(a.figures, b.figures)) = least(size(a.figures), size(b.figures))").alias("whole"))
+    all_pairs = {(r["node"], r["other"]): (r["w"], r["whole"]) for r in scored.collect()}
+    got = {(r["a"], r["b"]): r["weight"] for r in listings.compare(folded, window=4, block=16).collect()}
+    assert all(w == pytest.approx(all_pairs[pair][0]) for pair, w in got.items()) and any(w < 0 for w in got.values())
+    # figures that agree in full: none is lost, whatever the window
+    want = {pair for pair, (w, whole) in all_pairs.items() if w > 0 and whole}
+    assert want <= got.keys() and len(want) > 150
     assert listings.compare(folded.limit(0)).count() == 0
 
 
@@ -83,13 +88,50 @@ def test_listings_with_some_figures_meet_their_product_in_a_hot_series(spark):
 def test_clusters_settle_a_chain_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(listings, "checkpoint", lambda df: spark.createDataFrame(df.toArrow()))
     # a path whose nodes come in the order of their ranks settles two nodes a round
-    nodes = spark.range(70).select(F.concat(F.lit("n"), "id").alias("node"), F.lit(None).cast("string").alias("code"))
-    path = [r["node"] for r in nodes.orderBy(F.lpad(F.hex(F.xxhash64("node")), 16, "0")).collect()]
+    nodes = spark.range(70).select(F.concat(F.lit("n"), "id").alias("node"), F.lpad(F.hex(F.xxhash64("id")), 16, "0").alias("rank"))
+    path = [r["node"] for r in nodes.orderBy("rank").collect()]
     edges = spark.createDataFrame([(*sorted(pair), 1.0) for pair in zip(path, path[1:])], "a string, b string, weight double")
     got = {r["node"]: r["cluster"] for r in listings.pivot_clusters(nodes.coalesce(1), edges.coalesce(1)).collect()}
     assert got == {node: path[i - i % 2] for i, node in enumerate(path)}
 
 
+PROFILE = "node string, n bigint, code string, accessory boolean, brands array<string>, series array<string>, figures array<string>"
+
+
+def _weight(spark, a, b):
+    rows = spark.createDataFrame([("x", 1, *a), ("y", 1, *b)], PROFILE)
+    return listings._scored(rows, spark.createDataFrame([("x", "y")], "a string, b string")).head()["weight"]
+
+
+def test_alignment_is_soft_and_weighs_the_code_as_one_token(spark):
+    full = ("AB1234CD", False, ["北苔"], ["雾山海"], ["g:350", "w:20"])
+    assert _weight(spark, full, ("AB1234CD", False, [], [], [])) > 0
+    # an equal code is outweighed by another series, another brand and other figures
+    assert _weight(spark, full, ("AB1234CD", False, ["薇摩岚"], ["杏粟涵"], ["g:900", "w:60"])) < 0
+    assert _weight(spark, full, ("AB1234CD-PRO", False, ["北苔"], ["雾山海"], ["g:350", "w:20"])) < 0
+    # without a code: a misspelt series and a rounded figure still align, another figure does not
+    assert _weight(spark, full, (None, False, ["北苔"], ["雾山诲"], ["g:350", "w:20"])) > 0
+    assert _weight(spark, full, (None, False, ["北苔"], ["雾山海"], ["g:351", "w:20"])) > 0
+    assert _weight(spark, full, (None, False, ["北苔"], ["雾山海"], ["g:380", "w:20"])) < 0
+    assert _weight(spark, full, (None, False, ["北苔"], ["杏粟涵"], ["g:350", "w:20"])) < 0
+
+
+def test_negative_edges_part_clusters_and_keep_them_apart(spark):
+    who = (None, False, ["北苔"], ["雾山海"], ["g:350", "w:20"])
+    folded = spark.createDataFrame([(f"n{i}", 1, *who) for i in range(5)], PROFILE)
+    edge = lambda a, b, w: (f"n{a}", f"n{b}", float(w))
+    edges = [edge(0, 1, 2), edge(0, 2, 2), edge(1, 2, 2), edge(2, 3, 1), edge(0, 3, -4), edge(1, 3, -4), edge(3, 4, 2)]
+    got = {r["node"]: r["cluster"] for r in listings.settle(folded, spark.createDataFrame(edges, "a string, b string, weight double")).collect()}
+    assert got["n0"] == got["n1"] == got["n2"] != got["n3"]
+
+
+def test_one_code_in_more_profiles_than_a_window_is_one_product(spark):
+    titles = [(f"c{i:03}", f"北苔 雾山海 {100 + i % 5}g {200 + i}W {300 + 2 * i}ml AB1234CD 台灯", None, "桌面台灯") for i in range(60)]
+    titles += [(f"d{i:03}", f"北苔 雾山海 {100 + i % 5}g {200 + i}W {300 + 2 * i}ml AB1234CE 台灯", None, "桌面台灯") for i in range(60)]
+    groups = {r["product_id"]: r["group_id"] for r in listings.listing_groups(review(spark, titles), lora(spark, [("c000", {"品牌": ["北苔"], "系列": ["雾山海"]}, "桌面台灯")]), window=5).collect()}
+    assert len({g for p, g in groups.items() if p[0] == "c"}) == 1 and len(set(groups.values())) == 2
+
+
 def test_empty_tables(tables):
     review_rows, sets = tables
     assert listings.listing_groups(review_rows.limit(0), sets.limit(0)).count() == 0

@@ -2,13 +2,15 @@
 
 Each listing (all titles and attribute sets of one product id) is reduced to a profile of
 normalised tokens: model code with suffix, brand, series, figures in base units, kind of
-article. Equal profiles are folded into one before anything is compared, so a group of
+article. Wholly equal profiles are folded into one before anything is compared, so a group of
 copies costs one profile whatever its size. The profiles are sorted by several keys with
 different token orders (multi-pass sorted neighbourhood); in each pass a sliding window
-compares neighbours by an alignment of their exact tokens, which yields positive and negative
-edges; where a series has more profiles than a window, passes keyed by series and stated
-figures compare all that can align; a parallel pivot correlation clustering turns the edges
-into groups.
+compares neighbours by a soft alignment of their tokens, in which the code is one token of
+several, and the fullest profile of a run stays in the window. Where a series has more profiles
+than a window, passes keyed by series and stated figures compare all that can align. The
+alignments are positive and negative edges; correlation clustering (parallel pivots, then
+contraction of clusters whose net weight is positive) turns them into groups. Listings that
+state a code come first; what they say together then meets the listings without one.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,6 +67,8 @@ PARSED = (
     "product_id string, code string, code_weight int, accessory boolean, brands array<string>, series array<string>, "
     "figures array<string>, words array<string>"
 )
+#: The sets of tokens in a profile.
+PROFILE_SETS = ("brands", "series", "figures")
 PARSED_COLUMNS = [field.split()[0] for field in PARSED.split(", ")]
 
 
@@ -193,32 +198,23 @@ def _with_lexicons(found: DataFrame) -> DataFrame:
 def nodes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Equal profiles folded: the nodes to compare, and ``product_id, node``.
 
-    A listing with a model code folds with all of its code; one without folds with those of
-    equal brand, series and figures. An accessory keeps the words of its own that name it.
+    Two listings fold if code, kind, brands, series and figures are all the same; one that
+    says too little to be told apart (no code, and no series or no figures) stays alone.
     """
-    # a listing that says nothing stays alone
-    said = F.concat_ws("|", F.array_join("brands", ","), F.array_join("series", ","), F.array_join("figures", ","))
-    tells = (F.size("series") > 0) & (F.size("figures") > 0)
-    signature = (
-        F.when(F.col("code").isNotNull(), F.concat(F.lit("c|"), F.col("code")))
-        .when(F.col("accessory") & (F.size("series") > 0), F.concat(F.lit("a|"), said))
-        .when(tells & ~F.col("accessory"), F.concat(F.lit("f|"), said))
-        .otherwise(F.concat(F.lit("p|"), F.col("product_id")))
-    )
+    said = F.concat_ws("|", *[F.array_join(x, ",") for x in PROFILE_SETS])
+    tells = F.col("code").isNotNull() | ((F.size("series") > 0) & (F.col("accessory") | (F.size("figures") > 0)))
+    kind = F.when(F.col("accessory"), "a|").otherwise("p|")
+    signature = F.when(tells, F.concat(kind, F.coalesce("code", F.lit("")), F.lit("|"), said)).otherwise(F.concat(F.lit("alone|"), F.col("product_id")))
     keyed = found.withColumn("node", signature)
-    folded = keyed.groupBy("node").agg(
-        F.first("code").alias("code"), F.max("accessory").alias("accessory"), F.count("*").alias("n"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(x)))).alias(x) for x in ("brands", "series", "figures")],
-    )
+    folded = keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("code", "accessory", *PROFILE_SETS)])
     return folded, keyed.select("product_id", "node")
 
 
-def _positions(df: DataFrame, key: Column) -> DataFrame:
-    """Global position in sort order without a single-task sort."""
+def _positions(df: DataFrame) -> DataFrame:
+    """Global position of ``sort_key, node`` in sort order without a single-task sort."""
     ordered = checkpoint(
-        df.withColumn("sort_key", key).repartitionByRange("sort_key", "node").sortWithinPartitions("sort_key", "node")
-        .withColumn("mono", F.monotonically_increasing_id())
-    )
+        df.repartitionByRange("sort_key", "node").sortWithinPartitions("sort_key", "node").select("node", F.monotonically_increasing_id().alias("mono"))
+    )
     part = F.shiftright("mono", 33)
     sizes = ordered.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row a partition
     offset, offsets = 0, []
@@ -226,55 +222,85 @@ def _positions(df: DataFrame, key: Column) -> DataFrame:
         offsets.append((row["part"], offset))
         offset += row["count"]
     if not offsets:
-        return ordered.select("*", F.lit(0).cast("long").alias("pos"))
+        return ordered.select("node", F.lit(0).cast("long").alias("pos"))
     starts = F.create_map(*[F.lit(x).cast("long") for pair in offsets for x in pair])
-    return ordered.withColumn("pos", F.element_at(starts, part) + F.col("mono").bitwiseAND((1 << 33) - 1)).drop("mono")
+    return ordered.select("node", (F.element_at(starts, part) + F.col("mono").bitwiseAND((1 << 33) - 1)).alias("pos"))
 
 
 def _neighbours(df: DataFrame, key: Column, window: int, block: int = 2048) -> DataFrame:
-    """Pairs of rows at most ``window - 1`` apart in the order of ``key``.
+    """``a, b``: nodes at most ``window - 1`` apart in the order of ``key``; only keys and ids travel.
 
     The order is cut into blocks of rows, not of keys; a block also gets the first rows of
     the next one, so no pair is lost at a border and no key can swell a task.
     """
-    body = F.struct("node", "code", "accessory", "brands", "series", "figures", "n")
-    placed = _positions(df, key).select("pos", body.alias("row"))
+    placed = _positions(df.select(key.alias("sort_key"), "node"))
     home = F.floor(F.col("pos") / block)
     spots = F.when(F.col("pos") % block < window - 1, F.array(home, home - 1)).otherwise(F.array(home))
     spread_out = placed.withColumn("home", home).select("*", F.explode(spots).alias("block"))
-    following = F.collect_list("row").over(W.partitionBy("block").orderBy("pos").rowsBetween(1, window - 1))
-    return (
-        spread_out.withColumn("next", following).where("home = block")
-        .select(F.col("row").alias("a"), F.explode("next").alias("b"))
-    )
+    following = F.collect_list("node").over(W.partitionBy("block").orderBy("pos").rowsBetween(1, window - 1))
+    return spread_out.withColumn("next", following).where("home = block").select(F.col("node").alias("a"), F.explode("next").alias("b"))
+
+
+def _leaders(df: DataFrame) -> DataFrame:
+    """``a, b``: each node of a run of one code with the fullest profile of the run.
+
+    The leader stays in the window as long as the run lasts, so a run longer than a window
+    hangs together.
+    """
+    fullness = sum((F.size(x) for x in PROFILE_SETS), F.lit(0))
+    runs = df.where("code IS NOT NULL").groupBy("code", "accessory").agg(F.max_by("node", F.struct(fullness, F.xxhash64("node"), "node")).alias("b"), F.count("*").alias("run"))
+    return df.join(runs.where("run > 1"), ["code", "accessory"]).where("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def _likeness(a: Column, b: Column) -> Column:
+    """Best similarity of two sets of names by edit distance, from 0 to 1; null if either is empty."""
+    one = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
+    return F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: one(x, y)))))
+
+
+def _name_term(a: Column, b: Column, clash: float) -> Column:
+    """1 for an equal name, little for a misspelt one, 0 where a side states none, ``clash`` for another."""
+    like = _likeness(a, b)
+    return F.when(like.isNull(), 0.0).when(like > 0.999, 1.0).when(like >= 0.6, like - 0.5).otherwise(clash)
+
+
+def _figures_met(a: Column, b: Column) -> Column:
+    """How many figures of ``a`` are among those of ``b``, up to half a per cent."""
+    dimension, amount = (lambda f: F.split_part(f, F.lit(":"), F.lit(1))), (lambda f: F.split_part(f, F.lit(":"), F.lit(2)).cast("double"))
+    close = lambda x, y: (dimension(x) == dimension(y)) & (F.abs(amount(x) - amount(y)) <= 0.005 * F.greatest(amount(x), amount(y)))
+    return F.size(F.filter(a, lambda x: F.exists(b, lambda y: close(x, y))))
 
 
 def _alignment(a: str, b: str) -> Column:
-    """Alignment of two profiles by exact tokens: 1 for the same product, negative for different ones.
+    """Soft alignment of two profiles: above 0 for the same product, below for different ones.
 
-    Figures align when one side's are among the other's and at least two agree; a dimension
-    that both state with nothing in common speaks against. Series align exactly, since the
-    look-alikes are gone by now; brands align through their shared name.
+    A sum of weighted tokens less what chance would give. An equal code weighs most but can be
+    outweighed by a clash of series, brand and figures; another code, or an accessory
+    against its product, is decisive. Without two codes the series, the brand and the share of
+    the smaller side's figures that agree must do, and figures that disagree weigh the more
+    the fewer there are.
     """
-    ca, cb = F.col(f"{a}.code"), F.col(f"{b}.code")
-    overlap = lambda f: F.size(F.array_intersect(f"{a}.{f}", f"{b}.{f}"))
-    size = lambda side, f: F.size(F.col(f"{side}.{f}"))
-    shared, least = overlap("figures"), F.least(size(a, "figures"), size(b, "figures"))
-    brands_clash = (size(a, "brands") > 0) & (size(b, "brands") > 0) & (overlap("brands") == 0)
-    figures_fit = (least > 0) & (shared == least) & (shared >= F.least(F.lit(2), least))
-    closeness = shared / F.greatest(size(a, "figures"), size(b, "figures"))
+    c = lambda side, f: F.col(f"{side}.{f}")
+    size_a, size_b = F.size(c(a, "figures")), F.size(c(b, "figures"))
+    least = F.least(size_a, size_b)
+    met = F.when(size_a <= size_b, _figures_met(c(a, "figures"), c(b, "figures"))).otherwise(_figures_met(c(b, "figures"), c(a, "figures")))
+    share = F.when(least > 0, met / least).otherwise(0.0)
+    fuller = F.when(least > 0, met / F.greatest(size_a, size_b)).otherwise(0.0)
+    names = lambda clash: 2 * _name_term(c(a, "series"), c(b, "series"), clash) + _name_term(c(a, "brands"), c(b, "brands"), clash)
+    both_coded = c(a, "code").isNotNull() & c(b, "code").isNotNull()
+    figures = 3 * share * share * share * F.when(least > 1, 1.0).otherwise(0.8)
     return (
-        F.when(F.col(f"{a}.accessory") != F.col(f"{b}.accessory"), -1.0)
-        .when(ca.isNotNull() & cb.isNotNull(), F.when(ca == cb, 1.0).otherwise(-1.0))
-        .when(brands_clash | (overlap("series") == 0), -1.0)
-        .when(F.col(f"{a}.accessory"), 0.5)
-        .when(figures_fit, 0.5 + 0.5 * closeness)
-        .otherwise(-1.0)
+        F.when(c(a, "accessory") != c(b, "accessory"), -8.0)
+        .when(both_coded & (c(a, "code") != c(b, "code")), -8.0)
+        .when(both_coded, 1.5 + names(-0.5) + 0.25 * met - 0.25 * (least - met))
+        .when(c(a, "accessory"), names(-1.0) - 1.5)
+        # of several that fit, the one with more figures in common fits best
+        .otherwise(names(-1.0) + figures + 0.05 * fuller - 4.1)
     )
 
 
 def _long_runs(folded: DataFrame, window: int, block: int) -> DataFrame:
-    """Pairs ``a, b`` that may align and that a window may miss: at least one of them has no code.
+    """``a, b``: nodes that may align and that a window may miss: at least one of them has no code.
 
     They lie in a series of more nodes than a window, or of a node with several series. A
     node is kept under its series and each figure and each pair of figures; it asks with one
@@ -282,20 +308,19 @@ def _long_runs(folded: DataFrame, window: int, block: int) -> DataFrame:
     its figures is kept there. Accessories align without figures and meet by series. Nodes
     under one key are cut into blocks on both sides, so no key can swell a task.
     """
-    body = F.struct("node", "code", "accessory", "brands", "series", "figures")
-    told = folded.select(F.explode("series").alias("name"), "node", "accessory", "figures", F.col("code").isNotNull().alias("coded"), body.alias("row"))
-    wide = told.groupBy("name").agg(F.count("*").alias("nodes"), F.max(F.size("row.series")).alias("most")).where((F.col("nodes") > window) | (F.col("most") > 1))
+    told = folded.select(F.explode("series").alias("name"), "node", "accessory", "figures", F.col("code").isNotNull().alias("coded"), F.size("series").alias("names"))
+    wide = told.groupBy("name").agg(F.count("*").alias("nodes"), F.max("names").alias("most")).where((F.col("nodes") > window) | (F.col("most") > 1))
     told = checkpoint(told.join(wide.select("name"), "name", "left_semi"))
     following = lambda f, i: F.transform(F.slice("figures", i + 2, F.size("figures")), lambda g: F.concat_ws("|", f, g))
     pairs = F.flatten(F.transform("figures", following))
     alike = F.array(F.lit("accessory"))
-    held = told.select("name", "node", "row", F.col("coded").alias("side"), F.explode(F.when(F.col("accessory"), alike).otherwise(F.concat("figures", pairs))).alias("key"))
+    held = told.select("name", "node", F.col("coded").alias("side"), F.explode(F.when(F.col("accessory"), alike).otherwise(F.concat("figures", pairs))).alias("key"))
     keys = F.when(F.col("accessory"), alike).when(F.size("figures") > 1, pairs).otherwise(F.col("figures"))
-    # two nodes with codes never align
+    # two nodes with codes never align here
     sides = F.when(F.col("coded"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     at = ["name", "key", "side"]
     kept = checkpoint(held.groupBy(*at).agg(F.count("*").alias("kept")))
-    asked = told.select("name", "node", "row", sides.alias("sides"), F.explode(keys).alias("key")).select("name", "node", "row", "key", F.explode("sides").alias("side"))
+    asked = told.select("name", "node", sides.alias("sides"), F.explode(keys).alias("key")).select("name", "node", "key", F.explode("sides").alias("side"))
     rarest = (
         asked.join(kept, at).groupBy("name", "node", "key").agg(F.sum("kept").alias("meets"))
         .groupBy("name", "node").agg(F.min_by("key", F.struct("meets", "key")).alias("key"))
@@ -305,13 +330,29 @@ def _long_runs(folded: DataFrame, window: int, block: int) -> DataFrame:
     cells = kept.join(asking.groupBy(*at).agg(F.count("*").alias("asking")), at).select(*at, blocks("kept").alias("across"), blocks("asking").alias("down"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = asking.join(cells, at).select(*at, F.col("row").alias("a"), own("down").alias("y"), every("across").alias("x"))
-    b = held.join(cells, at).select(*at, F.col("row").alias("b"), own("across").alias("x"), every("down").alias("y"))
-    return a.join(b, [*at, "x", "y"]).where("a.node <> b.node").select("a", "b")
+    a = asking.join(cells, at).select(*at, F.col("node").alias("a"), own("down").alias("y"), every("across").alias("x"))
+    b = held.join(cells, at).select(*at, F.col("node").alias("b"), own("across").alias("x"), every("down").alias("y"))
+    return a.join(b, [*at, "x", "y"]).where("a <> b").select("a", "b")
+
+
+def _scored(folded: DataFrame, met: DataFrame) -> DataFrame:
+    """``a, b, weight``: every pair met, once, with the alignment of its profiles."""
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    body = F.struct("code", "accessory", *PROFILE_SETS)
+    side = lambda x: folded.select(F.col("node").alias(x), body.alias(f"row_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _alignment("row_a", "row_b").alias("weight"))
+
+
+def compare_coded(folded: DataFrame, window: int = 12, block: int = 2048) -> DataFrame:
+    """``a, b, weight``: edges, positive and negative, between the nodes with a code."""
+    coded = folded.where("code IS NOT NULL")
+    series, brands, figures = F.array_join("series", " "), F.array_join("brands", " "), F.array_join("figures", " ")
+    keys = [F.concat_ws("|", "code", series, brands, figures), F.concat_ws("|", brands, series, "code", figures)]
+    return _scored(coded, reduce(DataFrame.unionByName, [_neighbours(coded, key, window, block) for key in keys], _leaders(coded)))
 
 
 def compare(folded: DataFrame, window: int = 12, block: int = 2048) -> DataFrame:
-    """``a, b, weight``: positive edges of all passes, once each."""
+    """``a, b, weight``: edges, positive and negative, of all passes, once each."""
     series, brands, figures = F.array_join("series", " "), F.array_join("brands", " "), F.array_join("figures", " ")
     code = F.coalesce("code", F.lit(""))
     backwards = F.array_join(F.reverse("figures"), " ")
@@ -320,26 +361,16 @@ def compare(folded: DataFrame, window: int = 12, block: int = 2048) -> DataFrame
         F.concat_ws("|", brands, series, backwards, code),
         F.concat_ws("|", figures, series, brands, code),
     ]
-    edges = None
-    for met in [*(_neighbours(folded, key, window, block) for key in keys), _long_runs(folded, window, block)]:
-        scored = met.select("a.node", F.col("b.node").alias("other"), _alignment("a", "b").alias("weight"))
-        edges = scored if edges is None else edges.unionByName(scored)
-    return (
-        edges.where("weight > 0")
-        .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "weight")
-        .groupBy("a", "b").agg(F.max("weight").alias("weight"))
-    )
+    return _scored(folded, reduce(DataFrame.unionByName, [_neighbours(folded, key, window, block) for key in keys], _long_runs(folded, window, block)))
 
 
-def pivot_clusters(folded: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, cluster``: correlation clustering by parallel random pivots.
+def pivot_clusters(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, cluster``: correlation clustering by parallel pivots over positive edges.
 
-    In each round the nodes that come before all their remaining neighbours become pivots,
-    and their neighbours join the pivot they agree with most. Nodes with a code come first:
-    two of them never agree, so a listing without a code joins one and cannot merge two.
-    The first node that is left is always a pivot, so rounds end when none is left.
+    ``ranked``: ``node, rank``. In each round the nodes that come before all their remaining
+    neighbours become pivots, and their neighbours join the pivot they agree with most. The
+    first node that is left is always a pivot, so rounds end when none is left.
     """
-    ranked = folded.select("node", F.concat(F.col("code").isNull().cast("int").cast("string"), F.lpad(F.hex(F.xxhash64("node")), 16, "0")).alias("rank"))
     both = edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     linked = both.select(F.col("a").alias("node")).distinct()
     alone = ranked.join(linked, "node", "left_anti").select("node", F.col("node").alias("cluster"))
@@ -364,17 +395,74 @@ def pivot_clusters(folded: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def _ranks(folded: DataFrame) -> DataFrame:
+    """``node, rank``: nodes with a code come first, then the fuller profiles, then a hash."""
+    fullness = sum((F.size(x) for x in PROFILE_SETS), F.lit(0))
+    hashed = F.lpad(F.hex(F.xxhash64("node")), 16, "0")
+    return folded.select("node", F.concat(F.col("code").isNull().cast("int").cast("string"), F.lpad((999 - F.least(fullness, F.lit(999))).cast("string"), 3, "0"), hashed).alias("rank"))
+
+
+def merged_profiles(folded: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The profile of each cluster under its pivot's name: all its tokens, and the code most listings state."""
+    inside = folded.join(clusters, "node")
+    codes = (
+        inside.where("code IS NOT NULL").groupBy("cluster", "code").agg(F.sum("n").alias("w"))
+        .groupBy("cluster").agg(F.min_by("code", F.struct(-F.col("w"), "code")).alias("code"))
+    )
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(x)))).alias(x) for x in PROFILE_SETS]
+    return inside.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("accessory").alias("accessory"), *sets).join(codes, "cluster", "left").withColumnRenamed("cluster", "node")
+
+
+def settle(folded: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, cluster``: correlation clustering on positive and negative edges.
+
+    Pivots cluster by the positive edges. A node that the edges of both signs push out of its
+    cluster leaves it. Then clusters are contracted to nodes: two of them join where the
+    sum of all edges between them and the alignment of their merged profiles are positive,
+    until none do; each round joins two clusters at least.
+    """
+    edges = checkpoint(edges)
+    clusters = checkpoint(pivot_clusters(_ranks(folded), edges.where("weight > 0")))
+    of = lambda x: clusters.select(F.col("node").alias(x), F.col("cluster").alias(f"c{x}"))
+    inside = edges.join(of("a"), "a").join(of("b"), "b").where("ca = cb")
+    pushed = (
+        inside.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("net")).where("net < 0").select("node", F.lit(True).alias("out"))
+    )
+    clusters = checkpoint(clusters.join(pushed, "node", "left").select("node", F.when(F.col("out") & (F.col("node") != F.col("cluster")), F.col("node")).otherwise(F.col("cluster")).alias("cluster")))
+    while True:
+        between = (
+            edges.join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+            .groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("net")).where("net > 0")
+        )
+        between = checkpoint(between)
+        if between.isEmpty():
+            return clusters
+        touched = clusters.join(between.select(F.explode(F.array("a", "b")).alias("cluster")).distinct(), "cluster", "left_semi")
+        whole = checkpoint(merged_profiles(folded, touched))
+        agreed = checkpoint(_scored(whole, between).where("weight > 0"))
+        if agreed.isEmpty():
+            return clusters
+        joined = pivot_clusters(_ranks(whole), agreed).select(F.col("node").alias("cluster"), F.col("cluster").alias("into"))
+        clusters = checkpoint(clusters.join(joined, "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")))
+
+
 def listing_groups(review: DataFrame, lora_data: DataFrame, window: int = 12) -> DataFrame:
     """``product_id, group_id``: every product of either table with the product it is.
 
-    Nulls: rows without product id give nothing; a product of which nothing is known is a
-    group of its own. Repeated rows change nothing.
+    Listings that state a code are clustered first; their merged profiles meet the others in
+    a second turn of the same kind. Nulls: rows without product id give nothing; a product
+    of which nothing is known is a group of its own. Repeated rows change nothing.
     """
     found = checkpoint(_with_lexicons(profiles(review, lora_data)))
     folded, membership = nodes(found)
     folded = checkpoint(folded)
-    clusters = pivot_clusters(folded, compare(folded, window))
-    return membership.join(clusters, "node").select("product_id", F.col("cluster").alias("group_id"))
+    first = settle(folded.where("code IS NOT NULL"), compare_coded(folded, window))
+    whole = checkpoint(merged_profiles(folded.where("code IS NOT NULL"), first).unionByName(folded.where("code IS NULL")))
+    second = settle(whole, compare(whole, window)).select(F.col("node").alias("group"), F.col("cluster").alias("group_id"))
+    return (
+        membership.join(first, "node", "left").withColumn("group", F.coalesce("cluster", "node"))
+        .join(second, "group").select("product_id", "group_id")
+    )
 
 
 def same_product_pairs(groups: DataFrame) -> DataFrame:

@@ -93,3 +93,28 @@ def test_token_counts_agree_with_an_exact_round_trip():
     enc = tiktoken.Encoding("t", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     text = "加湿器 2.5L mit Leuchte, すぐ使える"
     assert enc.decode(enc.encode_ordinary(text)) == text and 0 < mixing.token_counter("x.tiktoken", data)(text) <= len(text.encode())
+
+
+def test_tree_by_domain_language_and_source_against_hand_figures():
+    leaves = [
+        (("d1", "zh", "a"), 0.3, 100.0), (("d1", "zh", "b"), 0.1, 1000.0), (("d1", "en", "a"), 0.1, 40.0), (("d2", "zh", "c"), 0.5, 300.0),
+    ]
+    top = mixing.build_tree(leaves, {})
+    assert mixing.wanted_tokens(top, 400) == pytest.approx({"d1/zh/a": 120, "d1/zh/b": 40, "d1/en/a": 40, "d2/zh/c": 200})
+    # a short leaf is filled by its sibling b, within the domain's 200
+    assert mixing.hand_down(top, 400) == pytest.approx({"d1/zh/a": 100, "d1/zh/b": 60, "d1/en/a": 40, "d2/zh/c": 200})
+    # at 800 the domain d2 (400 wanted, 300 there) and the language en run short: zh of d1 takes both
+    assert mixing.hand_down(top, 800) == pytest.approx({"d1/zh/a": 100, "d1/zh/b": 360, "d1/en/a": 40, "d2/zh/c": 300})
+
+
+@needs_file
+def test_tree_report_adds_up_and_null_levels_have_a_leaf(spark):
+    rows = [(i, "big", f"词语 number {i} " * 5, "zh" if i % 3 else "en") for i in range(300)] + [(1000 + i, "scarce", f"说明 {i} " * 4, None) for i in range(10)]
+    docs = spark.createDataFrame(rows + [(2000 + i, "mid", f"text {i} " * 6, " ZH") for i in range(200)], "doc_id bigint, source string, text string, lang string")
+    targets = spark.createDataFrame([("big", 0.4, 1), ("scarce", 0.3, 2), ("mid", 0.3, 3), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
+    selection, report, tree = mixing.mix_tree(docs, targets, FILE, domain_of={"big": "d1", "mid": "d1", "scarce": "d2"}, levels=("lang",), all_usable=True)
+    at = {r["path"]: r for r in tree.collect()}
+    assert {p for p, r in at.items() if r["level"] == 1} == {"d1", "d2"} and "d2/unknown/scarce" in at and "d1/zh/mid" in at
+    assert at["d2"]["budget_tokens"] == at["d2"]["capacity_tokens"] < at["d2"]["target_tokens"] and at["d1"]["budget_tokens"] > at["d1"]["target_tokens"]
+    assert at["d1"]["selected_tokens"] + at["d2"]["selected_tokens"] == selection.agg(F.sum("n_tokens")).head()[0]
+    assert sum(r["actual_share"] for r in report.collect()) == pytest.approx(1.0)

@@ -30,6 +30,8 @@ from wareloom.session import checkpoint, spread
 #: Folder and file of the public vocabulary that counts tokens, unless a path is given.
 TOKENIZER_FOLDER, TOKENIZER_FILE = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 SEED = 20240229
+#: Most sources a target table may have; it is read to the driver.
+MAX_SOURCES = 10_000
 
 
 @dataclass
@@ -144,14 +146,14 @@ def token_counter(name: str, vocabulary: bytes):
 
 
 def _running(df: DataFrame, bins: int = 4096) -> DataFrame:
-    """``upto``: running token count within (source, epoch) in the seeded order.
+    """``upto``: running token count within (leaf, epoch) in the seeded order.
 
     The order is cut into bins of equal hash range; a leaf's running count is the sum of its
     earlier bins plus the running count inside the bin, so a leaf with a third of all rows
     is spread over all bins.
     """
     binned = df.withColumn("bin", F.shiftrightunsigned("place", 64 - int(math.log2(bins))).cast("int"))
-    keys = ["source", "epoch"]
+    keys = ["source", "leaf", "epoch"]
     before = (
         binned.groupBy(*keys, "bin").agg(F.sum("n_tokens").alias("s"))
         .withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -161,75 +163,130 @@ def _running(df: DataFrame, bins: int = 4096) -> DataFrame:
     return binned.withColumn("inside", inside).join(before, [*keys, "bin"]).withColumn("upto", F.col("before") + F.col("inside")).drop("bin", "inside", "before")
 
 
-def mix(docs: DataFrame, targets: DataFrame, tokenizer_file: str, total_tokens: float | None = None, seed: int = SEED,
-        tree: dict[str, tuple[str, float]] | None = None, all_usable: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Selection and report.
+def build_tree(leaves: list[tuple[tuple[str, ...], float, float]], domains: dict[str, float]) -> Node:
+    """A tree from ``(path, weight, capacity)`` of its leaves; ``path`` starts with the domain.
 
-    ``docs``: ``doc_id, source, text``; ``targets``: ``source, target_share, max_repeats``.
-    ``tree`` places sources below named domains with the domain's share; without it all
-    sources are siblings. ``total_tokens`` is the budget; with ``all_usable`` it is as many
-    tokens as the documents of all targets have, with neither the largest total at which the
-    shares of all sources that have documents are met. What a source cannot fill within its
-    repeats is handed down to the others. Documents without source or text, or of a source
-    without target, stay out.
+    ``domains`` are the weights of the first level. Below it a node weighs what its leaves
+    weigh together, so without any shortage every leaf gets its own weight's share.
+    """
+    top = Node("", 1.0)
+    at: dict[tuple[str, ...], Node] = {(): top}
+    for path, weight, capacity in sorted(leaves):
+        for depth in range(1, len(path) + 1):
+            key = path[:depth]
+            if key not in at:
+                at[key] = Node("/".join(key), 0.0)
+                at[key[:-1]].children.append(at[key])
+            at[key].weight += max(weight, 0.0)
+        at[path].capacity += capacity
+    for child in top.children:
+        child.weight = domains.get(child.name, child.weight)
+    return top
+
+
+def mix_tree(docs: DataFrame, targets: DataFrame, tokenizer_file: str, total_tokens: float | None = None, seed: int = SEED,
+             domain_of: dict[str, str] | None = None, levels: tuple[str, ...] = (), all_usable: bool = False,
+             times: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Selection, report by source and report by node of the tree.
+
+    ``docs``: ``doc_id, source, text`` and the columns named by ``levels``; ``targets``:
+    ``source, target_share, max_repeats``. The tree has a domain (``domain_of`` a source,
+    else the source itself), the ``levels`` (the language, say), and the source as leaf. A
+    source's target is parted among its leaves by the tokens they have, so all its leaves run
+    short together or not at all; what a leaf cannot fill goes to its siblings (other sources
+    of the same domain and language) first, then to other languages of the domain, then to
+    other domains. ``total_tokens`` is the budget; with ``all_usable`` it is ``times`` as many
+    tokens as the documents of all targets have, with neither the largest total at which the shares
+    of all sources that have documents are met. Documents without source or text, or of a
+    source without target, stay out; a null level is a level of its own.
 
     Selection: ``doc_id, source, epoch, n_tokens``. Report: per target ``source,
-    target_share, actual_share, target_tokens, selected_tokens, shortage_tokens,
-    available_tokens, max_repeats, max_use, tokenizer``; the shortage is what the source
-    cannot fill of its target, handed to others.
-    Targets are a small declared table (one row a source) and are read to the driver.
+    target_share, actual_share, target_tokens, budget_tokens, selected_tokens,
+    shortage_tokens, available_tokens, max_repeats, max_use, tokenizer``; the shortage is
+    what the source cannot fill of its target, ``budget_tokens`` what it was given with the
+    shortages of others. By node: ``path, level, weight, target_tokens, budget_tokens,
+    capacity_tokens, selected_tokens``. Targets are a small declared table (one row a source,
+    checked), so the leaves and their token counts are read to the driver.
     """
     spark = docs.sparkSession
-    usable = spread(docs.select("doc_id", "source", "text").where(F.col("source").isNotNull() & ~is_blank(F.col("text"))))
-    wanted = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    usable = spread(docs.select("doc_id", "source", "text", *levels).where(F.col("source").isNotNull() & ~is_blank(F.col("text"))))
+    wanted = targets.where("source IS NOT NULL").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
+    rows = wanted.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources with a target")
     usable = usable.join(F.broadcast(wanted.select("source")), "source", "left_semi")
-    counted = checkpoint(with_token_counts(usable, tokenizer_file).select("doc_id", "source", "n_tokens"))
-    have = {r["source"]: r["tokens"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}
-    rows = wanted.collect()
-    domains = tree or {}
-    top = Node("", 1.0)
-    by_domain: dict[str, Node] = {}
-    for r in sorted(rows, key=lambda r: r["source"] or ""):
-        leaf = Node(r["source"], float(r["target_share"] or 0), float(have.get(r["source"], 0) or 0) * max(0, r["max_repeats"]))
-        if r["source"] in domains:
-            domain, share = domains[r["source"]]
-            by_domain.setdefault(domain, Node(domain, share)).children.append(leaf)
-        else:
-            top.children.append(leaf)
-    top.children += by_domain.values()
+    place = F.concat_ws("/", *[F.coalesce(F.lower(F.trim(level)), F.lit("unknown")) for level in levels], "source")
+    counted = checkpoint(with_token_counts(usable, tokenizer_file).select("doc_id", "source", place.alias("leaf"), "n_tokens"))
+    have = {(r["source"], r["leaf"]): r["tokens"] or 0 for r in counted.groupBy("source", "leaf").agg(F.sum("n_tokens").alias("tokens")).collect()}
+    of_source: dict[str, int] = {}
+    for (source, _), tokens in have.items():
+        of_source[source] = of_source.get(source, 0) + tokens
+    domain_of = domain_of or {}
+    leaves, source_of, repeats = [], {}, {}
+    for r in rows:
+        source, share, uses = r["source"], float(r["target_share"] or 0), max(0, r["max_repeats"])
+        total = of_source.get(source, 0)
+        own = [(leaf, tokens) for (s, leaf), tokens in have.items() if s == source] if total else [("/".join(["unknown"] * len(levels) + [source]), 0)]
+        for leaf, tokens in own:
+            path = (domain_of.get(source, source), *leaf.split("/", len(levels)))
+            leaves.append((path, share * (tokens / total if total else 1.0), float(tokens * uses)))
+            source_of["/".join(path)], repeats["/".join(path)] = source, (uses, tokens)
+    top = build_tree(leaves, {})
     if total_tokens is not None:
         budget = float(total_tokens)
     elif all_usable:
-        budget = float(sum(have.get(r["source"], 0) or 0 for r in rows if (r["target_share"] or 0) > 0 and r["max_repeats"] > 0))
+        budget = times * float(sum(of_source.get(r["source"], 0) for r in rows if (r["target_share"] or 0) > 0 and r["max_repeats"] > 0))
     else:
         budget = largest_total(top)
     budgets, shares = hand_down(top, budget), wanted_tokens(top, budget)
-    plan = [
-        (r["source"], float(budgets.get(r["source"], 0.0)), int(r["max_repeats"]), int(have.get(r["source"], 0) or 0), float(r["target_share"] or 0),
-         float(shares.get(r["source"], 0.0)))
-        for r in rows
-    ]
-    schema = "source string, budget double, max_repeats int, available long, target_share double, target_tokens double"
-    leaves = spark.createDataFrame(plan, T._parse_datatype_string(schema))
+    plan = [(source, path.split("/", 1)[1], float(budgets.get(path, 0.0)), *map(int, repeats[path])) for path, source in source_of.items()]
+    schema = "source string, leaf string, budget double, max_repeats int, available long"
+    cells = spark.createDataFrame(plan, T._parse_datatype_string(schema))
     epochs = F.least("max_repeats", F.ceil(F.col("budget") / F.greatest(F.col("available"), F.lit(1))).cast("int"))
     drawn = (
-        counted.join(F.broadcast(leaves.where("budget > 0 AND available > 0").withColumn("epochs", epochs)), "source")
+        counted.join(F.broadcast(cells.where("budget > 0 AND available > 0").withColumn("epochs", epochs)), ["source", "leaf"])
         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest("epochs", F.lit(1)))))
         .withColumn("place", F.xxhash64(F.lit(seed), "epoch", "source", "doc_id"))
     )
     # whole epochs need no order; only the last, partial one is cut at a prefix
     left = F.col("budget") - (F.col("epoch") - 1) * F.col("available")
-    ranked = _running(drawn.withColumn("left", left).select("doc_id", "source", "epoch", "n_tokens", "left", "place"))
-    selection = ranked.where("upto - n_tokens / 2.0 <= left").select("doc_id", "source", "epoch", "n_tokens")
-    used = selection.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("t"))
-    per_source = used.groupBy("source").agg(F.sum("t").alias("selected_tokens"), F.max("uses").alias("max_use"))
-    filled = leaves.join(per_source, "source", "left").fillna({"selected_tokens": 0, "max_use": 0})
+    ranked = _running(drawn.withColumn("left", left).select("doc_id", "source", "leaf", "epoch", "n_tokens", "left", "place"))
+    chosen = ranked.where("upto - n_tokens / 2.0 <= left").select("doc_id", "source", "leaf", "epoch", "n_tokens")
+    used = chosen.groupBy("source", "leaf", "doc_id").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("t"))
+    per_leaf = used.groupBy("source", "leaf").agg(F.sum("t").alias("selected_tokens"), F.max("uses").alias("max_use"))
+    sums = [
+        (r["source"], float(r["target_share"] or 0), float(sum(shares.get(p, 0.0) for p, s in source_of.items() if s == r["source"])),
+         float(sum(budgets.get(p, 0.0) for p, s in source_of.items() if s == r["source"])), int(r["max_repeats"]), int(of_source.get(r["source"], 0)))
+        for r in rows
+    ]
+    sources = spark.createDataFrame(sums, T._parse_datatype_string("source string, target_share double, target_tokens double, budget_tokens double, max_repeats int, available long"))
+    per_source = per_leaf.groupBy("source").agg(F.sum("selected_tokens").alias("selected_tokens"), F.max("max_use").alias("max_use"))
+    filled = sources.join(per_source, "source", "left").fillna({"selected_tokens": 0, "max_use": 0})
     report = filled.withColumn("all_tokens", F.sum("selected_tokens").over(W.partitionBy(F.lit(1)))).select(
         "source", "target_share",
         F.when(F.col("all_tokens") > 0, F.col("selected_tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"),
-        F.round("target_tokens").cast("long").alias("target_tokens"), "selected_tokens",
+        F.round("target_tokens").cast("long").alias("target_tokens"), F.round("budget_tokens").cast("long").alias("budget_tokens"), "selected_tokens",
         F.round(F.greatest(F.lit(0.0), F.col("target_tokens") - F.col("available") * F.greatest("max_repeats", F.lit(0)))).cast("long").alias("shortage_tokens"),
         F.col("available").alias("available_tokens"), "max_repeats", "max_use",
         F.lit(os.path.basename(tokenizer_file)).alias("tokenizer"),
     )
-    return selection, report
+    flat = [(path, float(node.weight), float(node.capacity)) for path, node in _walk(top) if not node.children]
+    down = [(path, "/".join(path.split("/")[: i + 1]), i + 1, w, float(shares.get(path, 0.0)), float(budgets.get(path, 0.0)), c)
+            for path, w, c in flat for i in range(path.count("/") + 1)]
+    every = spark.createDataFrame(down, T._parse_datatype_string("full string, path string, level int, weight double, target double, budget double, capacity double"))
+    names = F.substring_index("full", "/", -len(levels) - 1).alias("leaf")
+    by_node = (
+        every.select("*", names).join(per_leaf.groupBy("leaf").agg(F.sum("selected_tokens").alias("t")), "leaf", "left").groupBy("path", "level").agg(
+            F.sum("weight").alias("weight"), F.round(F.sum("target")).cast("long").alias("target_tokens"), F.round(F.sum("budget")).cast("long").alias("budget_tokens"),
+            F.round(F.sum("capacity")).cast("long").alias("capacity_tokens"), F.coalesce(F.sum("t"), F.lit(0)).alias("selected_tokens"))
+    )
+    return chosen.drop("leaf"), report, by_node
+
+
+def mix(docs: DataFrame, targets: DataFrame, tokenizer_file: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Selection and report by source; ``options`` as in ``mix_tree``."""
+    return mix_tree(docs, targets, tokenizer_file, **options)[:2]
+
+
+def _walk(node: Node) -> list[tuple[str, Node]]:
+    return [(c.name, c) for c in node.children] + [pair for c in node.children for pair in _walk(c)]

@@ -77,16 +77,29 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.cut_leaks(docs, contamination.leak_spans(docs, items))
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The budget is all usable tokens: short sources are filled up by the others, none is cut to the scarcest."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    return mixing.mix(docs, table(spark, sf_dir, "mix_targets"), os.path.join(mixing.TOKENIZER_FOLDER, mixing.TOKENIZER_FILE), all_usable=True)
+#: Domains of the sources in the tree of targets (declared).
+SOURCE_DOMAINS = {
+    "detail_page": "shop", "spec_sheet": "shop", "shop_faq": "shop", "user_manual": "shop", "care_note": "shop", "export_copy": "shop",
+    "buyer_review": "public", "forum_post": "public", "buying_guide": "public", "live_script": "public", "dealer_memo": "trade", "recall_notice": "trade",
+}
+
+
+def _mixed(spark: SparkSession, sf_dir: str, times: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A tree of domain, language and source; the budget is all usable tokens, so none is cut to the scarcest."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text", "lang"])
+    file = os.path.join(mixing.TOKENIZER_FOLDER, mixing.TOKENIZER_FILE)
+    return mixing.mix_tree(docs, table(spark, sf_dir, "mix_targets"), file, domain_of=SOURCE_DOMAINS, levels=("lang",), all_usable=True, times=times)
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the tree for 1.6 times the usable tokens: leaves run short and are filled by siblings, then by other domains."""
+    return _mixed(spark, sf_dir, times=1.6)[2]
+
+
 def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[0].withColumn("tokenizer", F.lit(mixing.TOKENIZER_FILE))
 
@@ -97,7 +110,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_labels, p2_found, p3_found, p3_groups, p4_found, p4_report, p6_found, p7_found, p7_cleaned, p8_report, p8_selection, p9_found)
+    for f in (p1_found, p1_labels, p2_found, p3_found, p3_groups, p4_found, p4_report, p6_found, p7_found, p7_cleaned, p8_report, p8_tree, p8_selection, p9_found)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -40,9 +40,9 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlap_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return (
-        table(spark, sf_dir, "lora_data", ["row_id", "product_id", "split", "attributes", "category_l2"]),
+        table(spark, sf_dir, "lora_data", ["row_id", "product_id", "split", "attributes", "category_l2", "messages"]),
         table(spark, sf_dir, "week2_train_consistency_review", ["product_id", "title", "attribute_evidence", "category_l2"]),
-        table(spark, sf_dir, "retrieval_test_queries", ["row_id", "query_id", "product_id", "query_image_path"]),
+        table(spark, sf_dir, "retrieval_test_queries", ["row_id", "query_id", "product_id", "query_image_path", "query_text"]),
     )
 
 

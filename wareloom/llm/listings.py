@@ -205,7 +205,8 @@ def nodes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     tells = F.col("code").isNotNull() | ((F.size("series") > 0) & (F.col("accessory") | (F.size("figures") > 0)))
     kind = F.when(F.col("accessory"), "a|").otherwise("p|")
     signature = F.when(tells, F.concat(kind, F.coalesce("code", F.lit("")), F.lit("|"), said)).otherwise(F.concat(F.lit("alone|"), F.col("product_id")))
-    keyed = found.withColumn("node", signature)
+    # a digest of fixed length travels through all joins in place of the signature
+    keyed = found.withColumn("node", F.base64(F.unhex(F.md5(signature))))
     folded = keyed.groupBy("node").agg(F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("code", "accessory", *PROFILE_SETS)])
     return folded, keyed.select("product_id", "node")
 

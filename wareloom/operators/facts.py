@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from wareloom.functions.hashing import short_hash
 from wareloom.functions.text import trim_blanks
+from wareloom.operators.packed import packed_list
 
 
 def parse_multimap(packed: Column) -> Column:
@@ -76,6 +77,18 @@ def fact_units(records: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
+def audit_marks(audit: DataFrame, policy: DataFrame) -> DataFrame:
+    """``record_id, field, status``: one row per field that an audit row marks.
+
+    ``audit``: ``record_id, blocked_fields, status``, the fields packed in any way
+    ``packed_list`` reads. A spelling of the policy marks its canonical field, other names
+    stand for themselves; null, blank and empty lists mark nothing.
+    """
+    names = policy.select("name", F.col("field").alias("canonical"))
+    listed = audit.select("record_id", "status", F.explode(packed_list(F.col("blocked_fields"))).alias("name"))
+    return listed.join(F.broadcast(names), "name", "left").select("record_id", F.coalesce("canonical", "name").alias("field"), "status")
+
+
 def fact_quality(facts: DataFrame, blocked: DataFrame, set_fields: Sequence[str], identity: str = "identity") -> DataFrame:
     """Add ``quality``: ``blocked``, ``withheld`` or ``usable``.
 

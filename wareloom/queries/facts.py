@@ -23,6 +23,7 @@ _POLICY = [
     ("用料", "材质", "material", 7), ("主要材质", "材质", "material", 7), ("颜色", "颜色", "choice", 8), ("色系", "颜色", "choice", 8),
     ("颜色分类", "颜色", "choice", 8), ("功能", "功能", "usage", 9), ("附加功能", "功能", "usage", 9), ("适用场景", "场景", "usage", 10), ("使用场景", "场景", "usage", 10),
 ]
+_POLICY_SCHEMA = "name string, field string, role string, field_order int"
 _SETS = ("颜色", "功能", "场景")
 _PRIORITY = [("title", "identity", 1), ("title", "spec", 2), ("points", "usage", 1), ("points", "spec", 2), ("points", "material", 3), ("text", "identity", 1), ("text", "material", 2), ("text", "usage", 3)]
 _V = lambda rows: ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
@@ -44,8 +45,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = spark.createDataFrame(_POLICY, "name string, field string, role string, field_order int")
-    return facts.fact_units(_records(spark, sf_dir), policy)
+    return facts.fact_units(_records(spark, sf_dir), spark.createDataFrame(_POLICY, _POLICY_SCHEMA))
 
 
 @query(f"WITH {_FACTS_SQL} SELECT record_id, field, role, field_order, fact_id, item_values, n_values FROM facts")
@@ -53,8 +53,13 @@ def fact_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).withColumnRenamed("values", "item_values")
 
 
+# an own parse of the packed list: quoted pieces, declared compounds, pieces with brackets, plain pieces
+_LISTED = r"""\s*"(?:[^"]|"")*"|\s*“[^”]*”|\s*‘[^’]*’|\s*「[^」]*」|\s*『[^』]*』|\s*\x27[^\x27]*\x27|\s*(?:电压/频率|认证\|备案号|档位;模式)|[^;；,，、|/\t\n\r()（）]*[(（][^()（）]*[)）][^;；,，、|/\t\n\r()（）]*|[^;；,，、|/\t\n\r]+"""
 _QUALITY_SQL = f"""{_FACTS_SQL},
-    marks AS (SELECT DISTINCT row_id AS record_id, trim(unnest(string_split(blocked_fields, '|'))) AS field, status FROM rag WHERE blocked_fields IS NOT NULL),
+    bf AS (SELECT row_id, status, trim(blocked_fields) AS t FROM rag WHERE blocked_fields IS NOT NULL),
+    pieces AS (SELECT row_id, status, regexp_replace(unnest(regexp_extract_all(CASE WHEN t LIKE '[%]' THEN t[2:-2] ELSE t END, '{_LISTED}')), '^[\\s　]+|[\\s　]+$', '', 'g') AS piece FROM bf),
+    named AS (SELECT row_id AS record_id, status, trim(CASE WHEN regexp_matches(piece, '^(?:".*"|“.*”|‘.*’|「.*」|『.*』|''.*'')$') AND length(piece) > 1 THEN replace(piece[2:-2], '""', '"') ELSE piece END) AS name FROM pieces),
+    marks AS (SELECT DISTINCT record_id, coalesce(p.field, named.name) AS field, status FROM named LEFT JOIN policy p ON p.name = named.name),
     m AS (SELECT record_id, field, max((status = 'CONFLICT')::INT) AS conflict, max((status = 'REVIEW')::INT) AS review FROM marks WHERE field <> '' GROUP BY 1, 2),
     j AS (SELECT f.*, conflict, review FROM facts f LEFT JOIN m USING (record_id, field)),
     bad AS (SELECT DISTINCT record_id FROM j WHERE role = 'identity' AND conflict = 1),
@@ -65,11 +70,17 @@ _QUALITY_SQL = f"""{_FACTS_SQL},
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "rag", ["row_id", "blocked_fields", "status"])
-    marks = rows.select(F.col("row_id").alias("record_id"), F.explode(F.split("blocked_fields", r"\|")).alias("field"), "status")
-    marks = marks.withColumn("field", F.trim("field")).where("field <> ''")
+    marks = facts.audit_marks(rows.withColumnRenamed("row_id", "record_id"), spark.createDataFrame(_POLICY, _POLICY_SCHEMA))
     return facts.fact_quality(_facts(spark, sf_dir), marks, _SETS)
 
 
+@query(f"WITH {_QUALITY_SQL} SELECT record_id, field, status FROM marks WHERE field <> ''")
+def audit_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields every audit row marks, under their canonical names."""
+    rows = table(spark, sf_dir, "rag", ["row_id", "blocked_fields", "status"])
+    return facts.audit_marks(rows.withColumnRenamed("row_id", "record_id"), spark.createDataFrame(_POLICY, _POLICY_SCHEMA)).distinct()
+
+
 @query(f"WITH {_QUALITY_SQL} SELECT role, quality, count(*) AS facts, count(DISTINCT record_id) AS records FROM q GROUP BY 1, 2")
 def fact_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir).groupBy("role", "quality").agg(F.count("*").alias("facts"), F.count_distinct("record_id").alias("records"))

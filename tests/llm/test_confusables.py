@@ -32,6 +32,24 @@ def test_automaton_prefers_the_frequent_spelling_and_reads_ambiguous_letters():
     assert trie.lookup("Zо​o") == "Zoo" and trie.lookup("Zo") is None and trie.lookup("zoo") is None
 
 
+def test_weights_and_budget_of_the_automaton():
+    trie = C.Trie()
+    for token, n in (("café", 3), ("cafe", 1), ("coffee", 9)):
+        trie.add(token, n)
+    assert trie.lookup("саfé") == "café" and trie.lookup("Cafe") is None
+    assert trie.lookup("Cafe", budget=1.0) == "cafe" and trie.lookup("càfe", budget=1.0) == "cafe"
+    assert trie.lookup("cofee", budget=2.0) == "coffee" and trie.lookup("coffeex", budget=2.0) == "coffee" and trie.lookup("tea", budget=2.0) is None
+
+
+def test_a_hot_class_is_cut_into_blocks(spark):
+    rows = [("t", i, "水壶 12W" if i % 3 else "水壶　12W") for i in range(200)] + [("t", 500 + i, f"其他{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "grp string, id bigint, text string")
+    got = {(r["id_a"], r["id_b"]) for r in C.same_looking_pairs(df, "grp", "id", "text", block=16).collect()}
+    assert got == {(i, j) for i in range(200) for j in range(i + 1, 200) if (i % 3 == 0) != (j % 3 == 0)}
+    classes = C.same_looking_classes(df, "grp", "id", "text").collect()
+    assert len(classes) == 200 and len({r["class_id"] for r in classes}) == 1 and len({r["spelling_id"] for r in classes}) == 2
+
+
 @given(st.text(alphabet="aeоаB 中⽔é́​ ㎏Ｗ", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_the_form_is_stable(text):

@@ -1,12 +1,12 @@
 """Visually identical text with different characters: one consistent form for comparison.
 
 A vocabulary of plainly spelled tokens is kept in tries, one per bucket. Every token with
-unusual characters walks the trie of its bucket with a weighted edit automaton in which
-look-alike letters, width and composition variants cost nothing to substitute and
-ignorable characters cost nothing to insert; every other edit costs more than the budget,
-since case and accents are real differences. Where several plain spellings are reached,
-the most frequent one is the canonical spelling. A token that reaches none is normalised
-by table. Texts are rebuilt from canonical tokens and compared by equality.
+unusual characters walks the trie of its bucket with a weighted edit automaton: look-alike
+letters, width and composition variants cost nothing to substitute and ignorable characters
+nothing to insert; case, accent and any other edit have a cost. The cheapest spelling within
+the budget is the canonical one, the most frequent of equally cheap ones. The budget is 0 by
+default, since case and accents are real differences here. A token that reaches none is
+normalised by table. Texts are rebuilt from canonical tokens and compared by digest.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wareloom.functions.text import IGNORABLES, ODD_BLANKS
+from wareloom.session import checkpoint
 
 #: Letters of other scripts and the Latin letters they look like, best first (fixed values).
 LOOKALIKES = {
@@ -75,11 +76,23 @@ def _coarse(token: str) -> str:
     return "".join("l" if c in "i1|" else "o" if c == "0" else c for c in base if not unicodedata.combining(c))
 
 
+#: Costs of the automaton's steps. Look-alikes, width, composition and ignorables are free;
+#: case and accent are real differences, as is any other letter.
+COSTS = {"same": 0.0, "lookalike": 0.0, "ignorable": 0.0, "case": 1.0, "accent": 1.0, "other": 2.0, "dropped": 2.0, "added": 2.0}
+#: What a spelling may cost to be reached: nothing, since every step that costs is a real difference.
+BUDGET = 0.0
+
+
+def _bare(ch: str) -> str:
+    return unicodedata.normalize("NFD", ch)[:1]
+
+
 class Trie:
-    """A trie of plainly spelled tokens with their counts."""
+    """A trie of plainly spelled tokens with their counts, walked by a weighted edit automaton."""
 
-    def __init__(self) -> None:
+    def __init__(self, costs: dict[str, float] | None = None) -> None:
         self.root: dict = {}
+        self.costs = costs or COSTS
 
     def add(self, token: str, count: int) -> None:
         node = self.root
@@ -87,50 +100,67 @@ class Trie:
             node = node.setdefault(ch, {})
         node[""] = node.get("", 0) + count
 
-    def lookup(self, token: str) -> str | None:
-        """The canonical spelling reached at no cost, or None.
+    def _step(self, states: dict[tuple[int, str], tuple[float, dict]], ch: str, budget: float) -> dict[tuple[int, str], tuple[float, dict]]:
+        """All states reached by reading ``ch``: as itself or a look-alike, and as an edit where the budget allows one."""
+        following: dict[tuple[int, str], tuple[float, dict]] = {}
 
-        The automaton's states are (node, spelling so far). A character may be read as
-        itself, as its folded form or as any of its look-alikes; ignorables are skipped.
-        Combining marks are composed with their letter before the walk.
-        """
-        states: list[tuple[dict, str]] = [(self.root, "")]
-        for ch in unicodedata.normalize("NFC", token):
+        def reach(cost: float, node: dict | None, spelled: str) -> None:
+            if node is not None and cost <= budget and cost < following.get((id(node), spelled), (budget + 1, None))[0]:
+                following[(id(node), spelled)] = (cost, node)
+
+        free = {_plain_char(ch): "lookalike", **dict.fromkeys(LOOKALIKES.get(ch, ""), "lookalike"), ch: "same"}
+        for (_, spelled), (cost, node) in states.items():
             if ch in IGNORABLES:
+                reach(cost + self.costs["ignorable"], node, spelled)
                 continue
-            readings = {ch, _plain_char(ch), *LOOKALIKES.get(ch, "")}
-            following = []
-            for node, spelled in states:
-                for reading in readings:
-                    at: dict | None = node
-                    for c in reading:
-                        at = at.get(c) if at else None
-                    if at is not None and reading:
-                        following.append((at, spelled + reading))
-            if not following:
-                return self._recomposed(token)
-            states = following
-        ends = [(-node[""], spelled) for node, spelled in states if "" in node]
-        return min(ends)[1] if ends else None
-
-    def _recomposed(self, token: str) -> str | None:
-        """Second chance for letters whose marks only compose after ignorables are gone."""
-        bare = unicodedata.normalize("NFC", "".join(_plain_char(c) for c in token))
-        node: dict | None = self.root
-        for ch in bare:
-            node = node.get(ch) if node else None
-        return bare if node and "" in node else None
+            for reading, kind in free.items():
+                at: dict | None = node
+                for c in reading:
+                    at = at.get(c) if at else None
+                if reading:
+                    reach(cost + self.costs[kind], at, spelled + reading)
+            if budget > cost:
+                for c, at in node.items():
+                    if c and c not in free:
+                        kind = "case" if c.lower() == ch.lower() else "accent" if _bare(c) == _bare(ch) else "other"
+                        reach(cost + self.costs[kind], at, spelled + c)
+                reach(cost + self.costs["added"], node, spelled)
+        return self._skipped(following, budget)
+
+    def _skipped(self, states: dict, budget: float) -> dict:
+        """States after letters of the vocabulary that the token drops."""
+        queue = [item for item in states.items() if item[1][0] + self.costs["dropped"] <= budget]
+        while queue:
+            (_, spelled), (cost, node) = queue.pop()
+            for c, at in node.items():
+                key, price = (id(at), spelled + c), cost + self.costs["dropped"]
+                if c and price <= budget and price < states.get(key, (budget + 1, None))[0]:
+                    states[key] = (price, at)
+                    queue.append((key, states[key]))
+        return states
+
+    def lookup(self, token: str, budget: float = BUDGET) -> str | None:
+        """The cheapest spelling within the budget, the most frequent of equally cheap ones, or None.
+
+        Combining marks are composed with their letter before the walk; letters whose marks
+        only compose once ignorables are gone have a second chance.
+        """
+        for read in dict.fromkeys((unicodedata.normalize("NFC", token), unicodedata.normalize("NFC", "".join(c for c in token if c not in IGNORABLES)), plain_text(token) or "")):
+            states = self._skipped({(id(self.root), ""): (0.0, self.root)}, budget)
+            for ch in read:
+                states = self._step(states, ch, budget)
+                if not states:
+                    break
+            ends = [(cost, -node[""], spelled) for (_, spelled), (cost, node) in states.items() if "" in node]
+            if ends:
+                return min(ends)[2]
+        return None
 
 
 @lru_cache(maxsize=1)
 def _unusual_chars() -> str:
-    """Characters that have another plain form, derived from the Unicode database by block."""
-    ranges = [(0x00A0, 0x024F), (0x1680, 0x1680), (0x2000, 0x2064), (0x2E80, 0x2FDF), (0x3000, 0x3000),
-              (0x3130, 0x318F), (0x3200, 0x33FF), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFE00, 0xFE0F),
-              (0xFE30, 0xFE4F), (0xFEFF, 0xFEFF), (0xFF01, 0xFFEE), (0x034F, 0x034F), (0x061C, 0x061C),
-              (0x180E, 0x180E)]
-    found = {chr(c) for low, high in ranges for c in range(low, high + 1) if _plain_char(chr(c)) != chr(c)}
-    return "".join(sorted({*found, *LOOKALIKES, *IGNORABLES}))
+    """Characters that have another plain form, derived from the whole Unicode database."""
+    return "".join(c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and _plain_char(c) != c)
 
 
 def is_unusual(col: Column) -> Column:
@@ -165,20 +195,24 @@ def spellings(vocabulary: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def canonical_texts(df: DataFrame, keys: list[str], text: str, buckets: int = 64) -> DataFrame:
+#: Distinct tokens a task holds in its trie, on average.
+BUCKET_TOKENS = 50_000
+
+
+def canonical_texts(df: DataFrame, keys: list[str], text: str, buckets: int | None = None) -> DataFrame:
     """``keys, text, canonical``: each non-null text with the form it is compared in.
 
     ``keys`` must identify a row. Null texts give no row; empty texts stay empty. Rows
     without unusual characters are their own canonical form and are not shuffled.
-    ``buckets`` is the number of tries; it bounds the part of the vocabulary, not of the
-    rows, that one task holds.
+    ``buckets`` is the number of tries; by default it follows the vocabulary, so that a task
+    holds a bounded part of it.
     """
     rows = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("text"))
     plain = rows.where(~is_unusual(F.col("text")))
     odd = rows.where(is_unusual(F.col("text")))
     words = rows.select(F.explode(_tokens(F.col("text"))).alias("token"))
-    vocabulary = words.groupBy("token").agg(F.count("*").alias("n")).withColumn("unusual", is_unusual(F.col("token")))
-    spelled = spellings(vocabulary, buckets)
+    vocabulary = checkpoint(words.groupBy("token").agg(F.count("*").alias("n")).withColumn("unusual", is_unusual(F.col("token"))))
+    spelled = spellings(vocabulary, buckets or -(-vocabulary.count() // BUCKET_TOKENS) or 1)
     rebuilt = (
         odd.select(*keys, "text", F.posexplode(_tokens(F.col("text"))).alias("pos", "token"))
         .join(spelled, "token", "left")
@@ -189,25 +223,31 @@ def canonical_texts(df: DataFrame, keys: list[str], text: str, buckets: int = 64
     return plain.withColumn("canonical", F.col("text")).unionByName(rebuilt)
 
 
-def same_looking_pairs(df: DataFrame, group: str, row_id: str, text: str, buckets: int = 64) -> DataFrame:
-    """Pairs of rows of one ``group`` that read the same but differ in their characters.
+def same_looking_classes(df: DataFrame, group: str, row_id: str, text: str, buckets: int | None = None) -> DataFrame:
+    """``group, row_id, class_id, spelling_id, members``: rows whose class has several spellings.
 
-    Rows with equal characters are no pair; a class in which all texts are equal is dropped
-    before the join, so repeated rows alone cost nothing.
+    Rows of one class read the same; those of one spelling are equal in every character.
+    Classes of one spelling are left out. Every row is told once, whatever its class's size.
     """
-    forms = canonical_texts(df, [group, row_id], text, buckets).withColumn("key", F.xxhash64(group, "canonical"))
-    mixed = forms.groupBy("key").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("key")
-    kept = forms.join(mixed, "key", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    return a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col(f"a.{group}") == F.col(f"b.{group}"))
-        & (F.col("a.canonical") == F.col("b.canonical"))
-        & (F.col(f"a.{row_id}") < F.col(f"b.{row_id}"))
-        & (F.col("a.text") != F.col("b.text")),
-    ).select(
-        F.col(f"a.{group}").alias(group),
-        F.col(f"a.{row_id}").alias(f"{row_id}_a"),
-        F.col(f"b.{row_id}").alias(f"{row_id}_b"),
+    forms = checkpoint(
+        canonical_texts(df, [group, row_id], text, buckets)
+        .select(group, row_id, F.base64(F.unhex(F.md5(F.concat_ws("\ue000", group, "canonical")))).alias("class_id"), F.base64(F.unhex(F.md5("text"))).alias("spelling_id"))
     )
+    several = (
+        forms.groupBy("class_id").agg(F.min("spelling_id").alias("lo"), F.max("spelling_id").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("class_id", "members")
+    )
+    return forms.join(several, "class_id").select(group, row_id, "class_id", "spelling_id", "members")
+
+
+def same_looking_pairs(df: DataFrame, group: str, row_id: str, text: str, buckets: int | None = None, block: int = 1024) -> DataFrame:
+    """Pairs of rows of one ``group`` that read the same but differ in their characters.
+
+    Rows with equal characters are no pair. The members of a class are cut into blocks of
+    about ``block`` rows on the one side and sent to every block on the other, so a class with
+    a third of all rows is spread over many tasks.
+    """
+    told = checkpoint(same_looking_classes(df, group, row_id, text, buckets))
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    a = told.select(F.col(group), F.col(row_id).alias("a_id"), "class_id", F.col("spelling_id").alias("a_s"), F.pmod(F.xxhash64(row_id), blocks).cast("int").alias("block"))
+    b = told.select(F.col(row_id).alias("b_id"), "class_id", F.col("spelling_id").alias("b_s"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return a.join(b, ["class_id", "block"]).where("a_id < b_id AND a_s <> b_s").select(group, F.col("a_id").alias(f"{row_id}_a"), F.col("b_id").alias(f"{row_id}_b"))

@@ -54,13 +54,21 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(*_overlap_inputs(spark, sf_dir))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _seen_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = table(spark, sf_dir, "week2_train_consistency_review", ["row_id", "title"])
     texts = table(spark, sf_dir, "rag", ["row_id", "attributes"])
-    both = titles.select(F.lit("week2_train_consistency_review").alias("record_source"), "row_id", F.col("title").alias("text")).unionByName(
+    return titles.select(F.lit("week2_train_consistency_review").alias("record_source"), "row_id", F.col("title").alias("text")).unionByName(
         texts.select(F.lit("rag").alias("record_source"), "row_id", F.col("attributes").alias("text"))
     )
-    return confusables.same_looking_pairs(both, "record_source", "row_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusables.same_looking_pairs(_seen_texts(spark, sf_dir), "record_source", "row_id", "text")
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a record: its class of texts that read the same, and its spelling."""
+    return confusables.same_looking_classes(_seen_texts(spark, sf_dir), "record_source", "row_id", "text")
 
 
 def _leak_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +118,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_labels, p2_found, p3_found, p3_groups, p4_found, p4_report, p6_found, p7_found, p7_cleaned, p8_report, p8_tree, p8_selection, p9_found)
+    for f in (p1_found, p1_labels, p2_found, p3_found, p3_groups, p4_found, p4_report, p6_found, p6_classes, p7_found, p7_cleaned, p8_report, p8_tree, p8_selection, p9_found)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,8 @@ CASES = {
     1030: ("This lamp from the north line keeps its settings after power loss and fits every desk in the house.", "other_language"),
     1031: ("このデスクランプは丈夫な素材を使い、寝室でもオフィスでも使いやすいです。", "other_language"),
     1040: ("这款桌面台灯来自北苔的雾系列，型号AB1040CD，电源线固定在", "truncated"), 1041: ('["功率为12W", "机身使用铝合', "truncated"),
-    1042: ("这款桌面台灯来自北苔的雾系列，功率为12W，", "truncated"),
+    1042: ("这款桌面台灯来自北苔的雾系列，功率为12W，", "truncated"), 1043: ('["功率为12W", "机身使用铝合金",', "truncated"), 1044: ("这款桌面台灯来自北苔的雾系列，机身使用铝合金，净重约", "truncated"),
+    1012: ('{"generated_title": "' + ASK.format(n=1012).replace("\n", "\\n") + '", "selling_points": ["' + ASK.format(n=1012).replace("\n", "\\n") + '"]}', "copies_question"),
     1050: ("这款桌面台灯来自北苔的雾系列，型号AB1050CD，功率为12W", None),  # no closing mark, but whole
     1051: ("- 型号AB1051CD\n- 功率为12W\n- 机身使用铝合金", None),
     1052: ("如遇运输破损我们深表抱歉并安排补发，净重约9g，功率为12W。", None),
@@ -37,6 +38,25 @@ def test_each_defect(talks):
     assert got == {("smoke_test", n): d for n, (_, d) in CASES.items() if d}
 
 
+def test_cutoffs_chosen_on_one_half_hold_on_the_other(talks):
+    scored = {r["row_id"]: r for r in pairs.label_posteriors(talks).where("record_source = 'smoke_test' AND row_id < 1060").collect()}
+    told = [({d: scored[n][d] for d in pairs.DEFECTS}, defect) for n, (_, defect) in sorted(CASES.items())]
+    chosen = pairs.choose_cutoffs(told[::2])
+    first_above = lambda p, limits: next((d for d in pairs.DEFECTS if p[d] > limits[d]), None)
+    for limits in (chosen, pairs.CUTOFFS):
+        assert [first_above(p, limits) for p, _ in told[1::2]] == [d for _, d in told[1::2]]
+
+
+def test_functions_of_a_defect_are_different_witnesses(spark, talks):
+    more = [("x", 1, ASK.format(n=1), ASK.format(n=1) + good(1) * 5), ("x", 2, ASK.format(n=2), "品牌：北苔"), ("x", 3, ASK.format(n=3), "抱歉，北苔品牌这款灯的功率为12W，型号为AB1003CD，我不能说更多。")]
+    table, functions = pairs.votes(talks.unionByName(spark.createDataFrame(more, talks.schema)))
+    rows = [r.asDict() for r in table.collect()]
+    for names in functions.values():
+        for a in range(len(names)):
+            for b in range(a):
+                assert any(r[names[a]] != r[names[b]] for r in rows), (names[a], names[b])
+
+
 def test_several_labels_are_kept_above_their_cutoffs(talks):
     many = pairs.broken_pairs(talks, {d: 0.0 for d in pairs.DEFECTS}).groupBy("record_source", "row_id").count()
     assert many.where("count > 1").count() > 0

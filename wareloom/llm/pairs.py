@@ -7,9 +7,10 @@ alone, the corpus is reduced to the counts of vote patterns first (3^functions r
 most), the model is fitted on those, and the posteriors are joined back. A label is kept
 when its posterior exceeds the cutoff of its kind; a pair may keep several.
 
-Clause completeness, which tells a reply that breaks off from one that only lacks its
-closing mark, is learnt from all replies: a last clause whose start and end are closed by a mark nowhere in
-the corpus breaks off.
+The functions of a defect are different witnesses: syntax, overlap with the question, script,
+phrases, what was asked for. For replies that break off the corpus adds two more, learnt from all
+replies: whether a last clause of this shape is ever closed by a mark, and how long clauses
+that begin like it usually are.
 """
 
 from __future__ import annotations
@@ -24,30 +25,27 @@ from wareloom.functions.text import drop_ignorables, fold_width, letters_only, n
 from wareloom.session import checkpoint, spread
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
-#: Posterior cutoffs, validated on hand-written pairs in the tests.
+#: Posterior cutoffs; each lies where F1 is best on hand-labelled pairs (``choose_cutoffs``, run in the tests on held-out pairs).
 CUTOFFS = {"empty": 0.5, "copies_question": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.5}
 YES, NO, ABSTAIN = 1, -1, 0
 
 #: Phrases of declining and of opening a refusal, by language (fixed values).
 REFUSAL = (
-    "恕难从命", "拒绝这个要求", "拒绝回答", "选择不作回答", "无法处理该请求", "不便输出", "帮不上忙", "超出了我可以", "我无法完成", "我不能完成", "无法完成", "不能完成",
-    "我没有办法", "目前不支持生成", "写不了", "我无法", "我不能", "不能提供", "无法提供", "无法回答", "不予回答",
-    "i must decline", "i can't", "i cannot", "i can not", "i won't", "i am unable", "i'm unable", "i am not able", "i'm not able",
-    "unable to produce", "outside what i can do", "goes against my guidelines", "against my guidelines", "not able to help",
-    "お応えできません", "お答えできません", "できかねます", "対応できません", "お手伝いできません", "申し訳", "kann ich nicht", "ich kann", "nicht möglich",
-    "no puedo", "je ne peux pas", "не могу", "도와드릴 수 없", "할 수 없",
+    "无法完成", "不能完成", "无法处理", "不能处理", "无法提供", "不能提供", "无法回答", "不能回答", "拒绝回答", "拒绝", "恕难从命", "不予回答", "不作回答", "没有办法", "帮不上", "帮不了", "不便", "不支持生成", "写不了", "超出了", "我无法", "我不能",
+    "decline", "can't", "cannot", "can not", "won't be able", "unable to", "not able to", "outside what i", "against my guidelines", "against policy",
+    "できません", "できかねます", "お断り", "kann ich nicht", "kann das nicht", "nicht möglich", "leider nicht", "no puedo", "no es posible", "je ne peux pas", "impossible de", "не могу", "할 수 없", "드릴 수 없",
 )
 OPENERS = (
-    "抱歉", "对不起", "不好意思", "非常遗憾", "很遗憾", "作为一个语言模型", "我只是一个程序", "作为ai", "作为人工智能",
-    "i'm sorry", "sorry", "apologies", "unfortunately", "as an assistant", "as an ai", "thanks for asking",
-    "申し訳", "すみません", "es tut mir leid", "leider", "lo siento", "désolé", "извините", "к сожалению", "죄송",
+    "抱歉", "对不起", "不好意思", "遗憾", "非常遗憾", "很遗憾", "十分抱歉", "非常抱歉", "很抱歉", "作为一个语言模型", "作为语言模型", "作为ai", "作为人工智能", "我只是一个",
+    "i'm sorry", "i am sorry", "sorry", "apologies", "unfortunately", "as an assistant", "as an ai", "as a language model", "thank you for", "thanks for",
+    "申し訳", "すみません", "恐れ入りますが", "es tut mir leid", "leider", "lo siento", "désolé", "извините", "к сожалению", "죄송",
 )
 _FIRST_PERSON = r"我(?!们)|(?<![a-z])i(?:'m|'ll)?(?![a-z])|(?<![a-z])my(?![a-z])"
 #: Function words by language code (fixed values).
 FUNCTION_WORDS = {
-    "en": "the and with this from for is are of to in on it its your keeps fits made either way",
-    "de": "der die das und mit von auf bei ist eine ein für zum gehören wiegt passt gilt",
-    "es": "el la los las de en con una un para al y por incluye pesa cabe trae",
+    "en": "the and with this from for is are of to in on it its your a an by that be can",
+    "de": "der die das und mit von auf bei ist eine ein für zum zur den im sich nicht auch",
+    "es": "el la los las de en con una un para al y por que se del es su",
     "fr": "le la les de et avec une un pour dans est sur du des ce cette",
     "it": "il la di e con una un per del della nel",
     "pt": "o a de e com uma um para do da no na",
@@ -99,7 +97,8 @@ def features(pairs: DataFrame) -> DataFrame:
     """Per-pair features; ``pairs`` has ``record_source, row_id, prompt, reply``."""
     reply = F.coalesce(F.col("reply"), F.lit(""))
     unfenced = F.regexp_replace(F.trim(drop_ignorables(reply)), r"(?s)^```[a-zA-Z]*\s*|\s*```\s*$", "")
-    content = F.regexp_replace(unfenced, _KEYS, " ")
+    # what a JSON text escapes is read as it is meant
+    content = F.regexp_replace(F.regexp_replace(F.regexp_replace(unfenced, _KEYS, " "), r"\\[nrt]", "\n"), r'\\(["\\/])', "$1")
     folded = F.lower(fold_width(content))
     prompt = F.coalesce(F.col("prompt"), F.lit(""))
     words = F.regexp_replace(folded, r"(?<![a-z0-9])(?:null|none|nil|nan|n/a|undefined)(?![a-z0-9])", "")
@@ -107,7 +106,8 @@ def features(pairs: DataFrame) -> DataFrame:
         "record_source", "row_id", "prompt", "reply",
         prompt.alias("ask"), unfenced.alias("body"), content.alias("content"), folded.alias("folded"),
         F.regexp_replace(words, r"[^\p{L}\p{N}]+", "").alias("solid"),
-        letters_only(F.col("prompt")).alias("ask_form"), letters_only(unfenced).alias("form"),
+        letters_only(F.col("prompt")).alias("ask_form"), letters_only(content).alias("form"),
+        F.filter(F.transform(F.split(prompt, r"[\n；;]+"), letters_only), lambda x: F.length(x) >= 6).alias("ask_lines"),
     )
     grams_reply, grams_ask = F.array_distinct(ngrams(F.col("form"), 6)), F.array_distinct(ngrams(F.col("ask_form"), 6))
     shared = F.size(F.array_intersect(grams_reply, grams_ask))
@@ -123,6 +123,7 @@ def features(pairs: DataFrame) -> DataFrame:
         "record_source", "row_id", "ask", "body", "content", "folded", "solid", "form", "ask_form",
         (shared / F.greatest(F.size(grams_reply), F.lit(1))).alias("of_reply"),
         (shared / F.greatest(F.size(grams_ask), F.lit(1))).alias("of_ask"),
+        F.size(F.filter("ask_lines", lambda x: F.col("form").contains(x))).alias("lines_said"), F.size("ask_lines").alias("lines_asked"),
         asked.alias("asked"),
         F.size(latin).alias("latin_words"),
         F.size(F.filter(latin, lambda w: function_words.contains(F.concat(F.lit(" "), F.lower(w), F.lit(" "))))).alias("function_words"),
@@ -160,11 +161,43 @@ def closed_shapes(feats: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
+def clause_lengths(feats: DataFrame, least: int = 5) -> DataFrame:
+    """``start, usual``: how long clauses of a beginning are at least, as a rule, where they are closed."""
+    closed = F.filter("clauses", lambda c: (F.length(c["body"]) >= 2) & (c["mark"] != ""))
+    told = feats.select(F.explode(F.transform(closed, lambda c: F.struct(F.substring(c["body"], 1, 2).alias("start"), F.length(c["body"]).alias("n")))).alias("s"))
+    return told.groupBy("s.start").agg(F.count("*").alias("times"), F.percentile_approx("s.n", 0.1).alias("usual")).where(f"times >= {least}").select("start", "usual")
+
+
 def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
-    """The vote of every labelling function on every pair, and the functions of each defect."""
+    """The vote of every labelling function on every pair, and the functions of each defect.
+
+    What a pair says by itself is told first and stored; what the corpus says about its last
+    clause (whether such a clause closes, how long it usually is) is joined to that.
+    """
     feats = features(pairs)
-    shapes = closed_shapes(feats).withColumnRenamed("shape", "last_shape")
-    rows = feats.drop("clauses").withColumn("last_shape", _edges(F.col("last.body"))).join(shapes, "last_shape", "left")
+    static, flags = _static_votes()
+    told = checkpoint(feats.select("record_source", "row_id", "last", "clauses", *[v.alias(k) for k, v in static.items()], *[v.alias(k) for k, v in flags.items()]))
+    shapes = closed_shapes(told).withColumnRenamed("shape", "last_shape")
+    rows = told.drop("clauses").withColumn("last_shape", _edges(F.col("last.body"))).withColumn("start", F.substring("last.body", 1, 2))
+    rows = rows.join(shapes, "last_shape", "left").join(clause_lengths(told), "start", "left")
+    c = F.col
+    open_end, ended, seen = c("last.mark") == "", c("last.mark").rlike("[。！!？?.]"), c("closings").isNotNull()
+    # a last clause speaks for the reply only where the reply may end: not at a comma, nor inside an open JSON text
+    json_end = c("last.mark").rlike('^"')
+    may_end = F.when(c("json_like"), c("last.mark").rlike("[\\]}]$")).otherwise(open_end) & ~c("title_like")
+    stops = (open_end | (c("json_like") & json_end)) & ~c("title_like")
+    size = F.length("last.body")
+    corpus = {
+        "truncated__unseen_end": _vote(stops & (size > 0) & ~seen, (seen & may_end) | ended),
+        "truncated__cut_short": _vote(stops & (size < 0.7 * c("usual")), ((size >= c("usual")) & may_end) | ended),
+    }
+    names = [*static, *corpus]
+    table = rows.select("record_source", "row_id", *static, *[v.alias(k) for k, v in corpus.items()])
+    return table, {defect: [x for x in names if x.startswith(f"{defect}__")] for defect in DEFECTS}
+
+
+def _static_votes() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Votes that need the pair alone, by name, and what is needed of it later."""
     c = F.col
     n = F.length("solid")
     brief = n < 90
@@ -175,12 +208,8 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
     # a bracket left open, or a mark that promises more
     dangling = (c("content").rlike(r"[（(【「『“][^）)】」』”]*$") | c("last.mark").isin("，", ",", "、")) & ~json_like
     no_mark = c("last.mark") == ""
-    seen = c("closings").isNotNull()
-    # a reply mended into valid JSON after it broke off
-    mended = json_like & ~unclosed & (c("last.body") != "") & ~seen & (c("last.mark").rlike('^"'))
     title_like = ~c("body").rlike(r"[，,。；;\n]") & ~json_like
     list_like = c("body").rlike(r"^\s*(?:[-·•*]|1[.、)])")
-    sections = c("body").rlike("^标题[：:]")
     declines = c("folded").rlike(_any_of(REFUSAL))
     opener = c("folded").rlike(r"""^(?:嗯|您好|说实话|[\s,，。.!！{\["'])*(?:""" + _any_of(OPENERS) + ")")
     first = c("folded").rlike(_FIRST_PERSON)
@@ -190,55 +219,50 @@ def votes(pairs: DataFrame) -> tuple[DataFrame, dict[str, list[str]]]:
         ((c("kana") >= 3) & (c("asked") != "ja")) | ((c("hangul") >= 3) & (c("asked") != "ko")) | ((c("cyrillic") >= 3) & (c("asked") != "ru"))
     )
     letters = c("han") + c("latin") + c("kana") + c("hangul") + c("cyrillic")
-    copied = (c("of_reply") >= 0.8) & (c("of_ask") >= 0.5)
+    wants_three = c("ask").rlike("三条|三个字符串|three")
+    points = F.regexp_count(c("body"), F.lit(r'(?m)^\s*(?:[-·•*]|[1-9][.、)])')) + F.regexp_count(c("body"), F.lit(r'"\s*[,\]]'))
+    structured = c("body").rlike(r"^\s*[\[{(（<\-·•*]")
+    sections = c("body").rlike("^标题[：:]")
+    keyed = c("body").rlike(_KEYS)
+    parts_missing = (sections & ~c("body").contains("介绍")) | (keyed & ~c("body").rlike(r'"(?:short_description|description)"')) | (list_like & ~keyed & wants_three & (points < 3))
+    parts_known = sections | keyed | (list_like & wants_three)
+    # what the reply adds to the question, and which of its lines it repeats
     functions: dict[str, dict[str, Column]] = {
         "empty": {
             "no_letters": _vote(n == 0),
-            "no_text": _vote(c("form") == "", n > 0),
-            "tiny": _vote(n <= 1, n >= 3),
-            "hollow": _vote(F.regexp_replace("body", r"[\s\p{P}\p{S}]+|(?i)null|none|generated_title|selling_points|short_description", "") == ""),
+            "hardly_anything": _vote(F.length("body") <= 4, F.length("body") > 40),
+            # brackets, bullets or a fence with nothing in them; says nothing of plain prose
+            "hollow_structure": _vote(structured & ~c("content").rlike(r"[\p{L}\p{N}]{5}"), structured & c("content").rlike(r"[\p{L}\p{N}]{5}")),
         },
         "copies_question": {
-            "reply_in_prompt": _vote(c("of_reply") >= 0.8, c("of_reply") < 0.6),
-            "prompt_in_reply": _vote(c("of_ask") >= 0.5, c("of_ask") < 0.4),
+            "nothing_new": _vote(c("of_reply") >= 0.8, c("of_reply") < 0.6),
+            "most_of_it": _vote(c("of_ask") >= 0.5, c("of_ask") < 0.3),
             "same_start": _vote((F.length("ask_form") >= 12) & c("form").contains(F.substring("ask_form", 1, 12))),
-            "both": _vote(copied),
+            "whole_lines": _vote((c("lines_said") >= 2) & (c("lines_said") * 2 >= c("lines_asked")), c("lines_said") * 4 < c("lines_asked")),
         },
         "refusal": {
             "declines": _vote(declines),
             "opens": _vote(opener, ~opener & ~declines),
-            "first_person": _vote(first & brief, ~first & ~declines),
-            "brief_without_figures": _vote(brief & ~figures & (n > 0) & (first | declines | opener), figures | ~brief),
+            "first_person": _vote(first & brief, ~first),
+            "brief_without_figures": _vote(brief & ~figures & (n > 0) & (c("of_reply") < 0.3), figures | ~brief),
         },
         "other_language": {
             "script": _vote(other_script, (c("asked") == "zh") & (c("kana") + c("hangul") + c("cyrillic") == 0) & (foreign < 4)),
-            "foreign_words": _vote((foreign >= 4) | other_script, foreign <= 1),
-            "function_words": _vote(
-                ((c("asked") == "zh") & (c("function_words") >= 2)) | other_script, (c("function_words") == 0) & ~other_script
-            ),
-            "asked_but_han": _vote(
-                F.when(c("asked") == "zh", (c("han") < 0.35 * letters) & (foreign >= 3) | other_script).otherwise(
-                    (c("han") >= 0.4 * letters) & (n > 0)
-                ),
-                F.when(c("asked") == "zh", (foreign < 3) & ~other_script).otherwise(c("han") < 0.3 * letters),
+            "foreign_words": _vote(foreign >= 4, (foreign <= 1) & ~other_script),
+            "function_words": _vote((c("asked") == "zh") & (c("function_words") >= 2), (c("function_words") == 0) & ~other_script),
+            "share_of_script": _vote(
+                F.when(c("asked") == "zh", ((c("han") < 0.35 * letters) & (letters >= 12)) | other_script).otherwise((c("han") >= 0.4 * letters) & (n > 0)),
+                F.when(c("asked") == "zh", (c("han") >= 0.5 * letters) & ~other_script).otherwise(c("han") < 0.3 * letters),
             ),
         },
         "truncated": {
-            "unclosed": _vote(unclosed | dangling | mended, json_like & ~unclosed & ~mended),
-            "unseen_end": _vote(
-                F.when(json_like, unclosed | mended).otherwise(dangling | (no_mark & ~seen & ~title_like)),
-                F.when(json_like, ~unclosed & ~mended).otherwise(seen | c("last.mark").rlike("[。！!？?.]") | title_like),
-            ),
-            "missing_parts": _vote(
-                (sections & ~c("body").contains("介绍")) | (list_like & (F.regexp_count(c("body"), F.lit("\n")) < 2)) | unclosed | mended
-                | (no_mark & ~seen & ~title_like & ~json_like) | dangling,
-                ~unclosed & ~mended & ~dangling & (seen | ~no_mark | title_like),
-            ),
+            # syntax, what was asked for, and how such replies end; the corpus adds its own witnesses
+            "left_open": _vote(unclosed | dangling, F.lit(False)),
+            "missing_parts": _vote(parts_missing, parts_known & ~parts_missing),
+            "unmarked": _vote(no_mark & ~title_like & ~json_like & ~list_like & ~sections, c("last.mark").rlike("[。！!？?.]")),
         },
     }
-    named = {f"{defect}__{name}": vote for defect, lfs in functions.items() for name, vote in lfs.items()}
-    table = rows.select("record_source", "row_id", *[vote.alias(name) for name, vote in named.items()])
-    return table, {defect: [f"{defect}__{name}" for name in lfs] for defect, lfs in functions.items()}
+    return {f"{defect}__{name}": vote for defect, lfs in functions.items() for name, vote in lfs.items()}, {"json_like": json_like, "title_like": title_like}
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -267,7 +291,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60)
 def label_posteriors(pairs: DataFrame) -> DataFrame:
     """``record_source, row_id`` and one posterior column per defect.
 
-    Only counts of vote patterns reach the driver: at most 3^4 rows a defect.
+    Only counts of vote patterns reach the driver: at most 3^5 rows a defect.
     """
     table, functions = votes(pairs)
     signatures = {defect: F.concat_ws(",", *[F.col(n).cast("string") for n in names]) for defect, names in functions.items()}
@@ -288,6 +312,26 @@ def label_posteriors(pairs: DataFrame) -> DataFrame:
     return out
 
 
+def choose_cutoffs(labelled: list[tuple[dict[str, float], str | None]], grid: tuple[float, ...] = tuple(i / 20 for i in range(1, 20))) -> dict[str, float]:
+    """For each defect the cutoff with the best F1 on labelled pairs; of equal ones the middle.
+
+    ``labelled``: the posteriors of a pair by defect, and its true defect or None. A bounded
+    hand-labelled sample; the label model itself is fitted without labels.
+    """
+
+    def f1(defect: str, cutoff: float) -> float:
+        said = [(p[defect] > cutoff, true == defect) for p, true in labelled]
+        right = sum(a and b for a, b in said)
+        return 2 * right / max(1, sum(a for a, _ in said) + sum(b for _, b in said))
+
+    chosen = {}
+    for defect in DEFECTS:
+        scores = [f1(defect, c) for c in grid]
+        best = [c for c, score in zip(grid, scores) if score == max(scores)]
+        chosen[defect] = best[len(best) // 2]
+    return chosen
+
+
 def broken_pairs(pairs: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
     """``record_source, row_id, defect_type, posterior``: every label above its cutoff.
 

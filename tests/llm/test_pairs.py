@@ -48,7 +48,7 @@ def test_cutoffs_chosen_on_one_half_hold_on_the_other(talks):
 
 
 def test_functions_of_a_defect_are_different_witnesses(spark, talks):
-    more = [("x", 1, ASK.format(n=1), ASK.format(n=1) + good(1) * 5), ("x", 2, ASK.format(n=2), "品牌：北苔"), ("x", 3, ASK.format(n=3), "抱歉，北苔品牌这款灯的功率为12W，型号为AB1003CD，我不能说更多。")]
+    more = [("x", 1, ASK.format(n=1), ASK.format(n=1) + good(1) * 5), ("x", 2, ASK.format(n=2), "品牌：北苔"), ("x", 4, ASK.format(n=4), ASK.format(n=4)[14:]), ("x", 6, ASK.format(n=6), "抱歉让您久等了，这款台灯功率为12W，型号AB1006CD。"), ("x", 7, ASK.format(n=7), "Ask me again for the lamp."), ("x", 8, ASK.format(n=8), "Der Lampenschirm leuchtet."), ("x", 5, ASK.format(n=5), "好的。" + "".join(sorted(ASK.format(n=5)))), ("x", 3, ASK.format(n=3), "抱歉，北苔品牌这款灯的功率为12W，型号为AB1003CD，我不能说更多。")]
     table, functions = pairs.votes(talks.unionByName(spark.createDataFrame(more, talks.schema)))
     rows = [r.asDict() for r in table.collect()]
     for names in functions.values():

@@ -65,9 +65,10 @@ def letters_only(col: Column) -> Column:
 
 
 def ngrams(col: Column, n: int) -> Column:
-    """All character n-grams of a string with their order kept; empty array if shorter."""
-    length = F.length(col)
-    return F.when(
-        length >= n,
-        F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(col, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
+    """All character n-grams of a string with their order kept; an empty array if it is shorter or null.
+
+    One pass of a look-ahead, so the work is linear in the length of the text. A look-ahead may
+    not begin inside a character of two code units.
+    """
+    grams = F.regexp_extract_all(col, F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{n - 1}}}))"), F.lit(1))
+    return F.coalesce(grams, F.array().cast("array<string>"))

@@ -132,9 +132,7 @@ def _tokens(col: Column) -> Column:
     A window without any is one token.
     """
     words = F.translate(col, SLOT + VOID, "  ")
-    n = F.length(words)
-    grams = F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: F.substring(words, i, F.lit(GRAM)))
-    within = F.when(n >= GRAM, F.array_distinct(F.filter(grams, lambda g: ~g.contains(" ")))).otherwise(F.array().cast("array<string>"))
+    within = F.array_distinct(F.regexp_extract_all(words, F.lit(rf"(?=([^ \x{{DC00}}-\x{{DFFF}}][^ ]{{{GRAM - 1}}}))"), F.lit(1)))
     as_token = lambda token, tf: F.struct(token.alias("token"), tf.cast("int").alias("tf"))
     marks = F.filter(F.array(*[as_token(F.lit(m), F.length(F.regexp_replace(col, f"[^{m}]", ""))) for m in (SLOT, VOID)]), lambda t: t["tf"] > 0)
     both = F.concat(F.transform(within, lambda g: as_token(g, F.lit(1))), marks)

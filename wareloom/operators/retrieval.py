@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,25 +21,47 @@ def exact_top_k(queries: DataFrame, gallery: DataFrame, k: int, dim: int = 64, e
 
     Both sides have ``id, embedding``. Scores are cosines rounded to 6 decimals, ties go to
     the smaller id. The stated query set is compared with all gallery rows in blocks of at
-    most ``BROADCAST_VALUES`` numbers, one pass over the gallery a block; each gallery
-    partition keeps its own best rows before the shuffle. Unusable vectors of either side
+    most ``BROADCAST_VALUES`` numbers, one pass over the gallery a block, as products of
+    matrices; each batch of the gallery keeps its own best rows before the shuffle. Unusable vectors of either side
     take no part.
     """
-    def fit(df: DataFrame, id_name: str, vector: str) -> DataFrame:
-        sound = df.select(F.col("id").alias(id_name), V.doubles(F.col("embedding")).alias("v")).where(V.usable(F.col("v"), dim))
-        return sound.select(id_name, V.normalise(F.col("v")).alias(vector))
+    def sound(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("id").alias(name), V.doubles(F.col("embedding")).alias("v")).where(V.usable(F.col("v"), dim))
 
-    asked, stored = fit(queries, "query_id", "q"), fit(gallery, "item_id", "g")
+    asked, stored = sound(queries, "query_id"), sound(gallery, "item_id")
     blocks = max(1, -(-asked.count() * dim // BROADCAST_VALUES))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    id_types = [df.schema["id"].dataType.simpleString() for df in (queries, gallery)]
+
+    def unit(rows) -> np.ndarray:
+        values = np.vstack(rows).astype(np.float64)
+        return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
     def search(part: DataFrame) -> DataFrame:
-        block = part.agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-        scored = stored.crossJoin(F.broadcast(block)).select("item_id", "g", F.explode("block").alias("b")).select(
-            F.col("b.query_id").alias("query_id"), "item_id", F.round(V.dot(F.col("b.q"), F.col("g")), 6).alias("score")
-        )
-        others = scored.where("query_id <> item_id") if exclude_self else scored
-        return others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        block = part.collect()  # at most BROADCAST_VALUES numbers
+        ids = np.array([r["query_id"] for r in block])
+        shared = part.sparkSession.sparkContext.broadcast((ids, unit([r["v"] for r in block]) if block else np.zeros((0, dim))))
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, wanted = shared.value
+            for batch in batches:
+                if not len(batch) or not len(own):
+                    continue
+                batch = batch.sort_values("item_id", kind="stable")  # ties then fall to the smaller id
+                items, vectors = batch["item_id"].to_numpy(), unit(batch["v"])
+                for start in range(0, len(own), 256):
+                    names = own[start : start + 256]
+                    scores = np.round(wanted[start : start + 256] @ vectors.T, 6)
+                    if exclude_self:
+                        scores[names[:, None] == items[None, :]] = -np.inf
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    rows = np.repeat(np.arange(len(names)), best.shape[1])
+                    found = scores[rows, best.ravel()]
+                    kept = found > -np.inf
+                    yield pd.DataFrame({"query_id": names[rows][kept], "item_id": items[best.ravel()][kept], "score": found[kept] + 0.0})
+
+        near = stored.mapInPandas(compare, f"query_id {id_types[0]}, item_id {id_types[1]}, score double")
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     found = search(asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == 0))
     for block_no in range(1, blocks):
@@ -48,6 +72,9 @@ def exact_top_k(queries: DataFrame, gallery: DataFrame, k: int, dim: int = 64, e
 def ranking_metrics(ranking: DataFrame, ideal: DataFrame, k: int, relevant: int = 1) -> DataFrame:
     """Per-query precision, recall, reciprocal rank and NDCG at ``k``, rounded to 6 decimals.
 
+    ``ideal`` may also hold ``n``, the number of judgments of a grade: the ideal order then
+    follows from the counts, and no judgment is spelt out or ranked.
+
     ``ranking``: ``query_id, rank, grade`` (unjudged rows have grade 0). ``ideal``:
     ``query_id, grade`` of everything that recall and the ideal order are taken from: the
     ranking's own pool, or all judgments. Precision divides by ``k`` even where fewer rows
@@ -61,11 +88,15 @@ def ranking_metrics(ranking: DataFrame, ideal: DataFrame, k: int, relevant: int
         F.max(F.when(F.col("grade") >= relevant, 1.0 / F.col("rank")).otherwise(0.0)).alias("rr"),
         F.sum(gain / discount).alias("dcg"),
     )
-    position = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("grade")))
+    counted = ideal if "n" in ideal.columns else ideal.withColumn("n", F.lit(1))
+    # one row a grade: its judgments take the places after those of all higher grades
+    grades = counted.groupBy("query_id", "grade").agg(F.sum("n").alias("n"))
+    above = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("grade")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda p: F.when((p > F.col("above")) & (p <= F.col("above") + F.col("n")), 1.0 / F.log2(p + 1.0)).otherwise(0.0))
     best = (
-        ideal.withColumn("rank", position)
+        grades.withColumn("above", above)
         .groupBy("query_id")
-        .agg(F.sum(hit).alias("relevant"), F.sum(F.when(F.col("rank") <= k, gain / discount).otherwise(0.0)).alias("idcg"))
+        .agg(F.sum(F.when(F.col("grade") >= relevant, F.col("n")).otherwise(0)).alias("relevant"), F.sum(gain * F.aggregate(places, F.lit(0.0), lambda s, x: s + x)).alias("idcg"))
         .where("relevant > 0")
     )
     joined = best.join(seen, "query_id", "left").fillna({"hits": 0, "rr": 0.0, "dcg": 0.0})

@@ -110,16 +110,12 @@ def _graded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     grade = lambda q, g: F.when(F.col(q) == F.col(g), 2).when(F.col(g) == (F.col(q) + 1) % 10, 1).otherwise(0)
     ql, gl = asked.select(F.col("id").alias("query_id"), F.col("label").alias("ql")), rows.select(F.col("id").alias("item_id"), F.col("label").alias("gl"))
     top = retrieval.exact_top_k(asked, rows, 50).join(ql, "query_id").join(gl, "item_id").withColumn("grade", grade("ql", "gl"))
-    # judgments over the stated query set: counts by label, then expanded per grade
+    # judgments over the stated query set: counts by label
     counts = gl.groupBy("gl").agg(F.count("*").alias("n"))
     judged = ql.crossJoin(F.broadcast(counts)).withColumn("n", F.col("n") - (F.col("ql") == F.col("gl")).cast("int")).withColumn("grade", grade("ql", "gl"))
     return top, judged.where("n > 0").select("query_id", "grade", "n")
 
 
-def _all_judgments(judged: DataFrame) -> DataFrame:
-    return judged.select("query_id", "grade", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("query_id", "grade")
-
-
 @query(f"{_E_TOP}, {_METRICS.format(ideal='r WHERE rank <= 50')} SELECT query_id, precision, recall, mrr, ndcg FROM m")
 def ir_metrics_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and the ideal order come from the candidate pool of 50."""
@@ -131,7 +127,7 @@ def ir_metrics_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ir_metrics_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and the ideal order come from all judgments."""
     top, judged = _graded(spark, sf_dir)
-    return retrieval.ranking_metrics(top, _all_judgments(judged), 10)
+    return retrieval.ranking_metrics(top, judged, 10)
 
 
 @query(

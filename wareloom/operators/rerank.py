@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -89,3 +89,60 @@ def dispatch(image_rows: DataFrame, text_rows: DataFrame) -> DataFrame:
     return passed.withColumn("mode", F.lit("image")).unionByName(
         text_rows.select("query_id", "item_id", "rank", "score", "new_score", "new_rank").withColumn("mode", F.lit("text"))
     )
+
+
+def category_factor(named: str, named_above: str, own: str, own_above: str) -> Column:
+    """1 for the named category or none named, 0.7 for one under the same parent, else 0.4."""
+    named_col, own_col = F.col(named), F.col(own)
+    return (
+        F.when(named_col.isNull() | F.coalesce(named_col == own_col, F.lit(False)), 1.0)
+        .when(F.coalesce(F.col(named_above) == F.col(own_above), F.lit(False)), 0.7)
+        .otherwise(0.4)
+    )
+
+
+def stated_evidence(candidates: DataFrame, constraints: DataFrame, stated: DataFrame) -> DataFrame:
+    """``query_id, item_id, concept, supports, conflicts`` from what the candidates state of themselves.
+
+    ``candidates``: ``query_id, item_id, product``; ``constraints``: ``query_id, concept, field, term``
+    (a null field is a figure, which may stand anywhere and never conflicts); ``stated``:
+    ``product, field, value``. A value equal to the term supports; other values of the field
+    without it conflict; a candidate that states nothing of the field does neither.
+    """
+    wanted = candidates.join(constraints, "query_id")
+    said = stated.where("value IS NOT NULL").select("product", F.col("field").alias("said_field"), "value").distinct()
+    met = wanted.join(said, "product", "left")
+    same = F.coalesce(F.col("value") == F.col("term"), F.lit(False))
+    in_field = F.coalesce(F.col("said_field") == F.col("field"), F.lit(False))
+    supports = F.max(same & (F.col("field").isNull() | in_field))
+    return met.groupBy("query_id", "item_id", "concept").agg(supports.alias("supports"), F.max(in_field).alias("_says")).select(
+        "query_id", "item_id", "concept", "supports", (F.col("_says") & ~F.col("supports")).alias("conflicts")
+    )
+
+
+def full_grid(candidates: DataFrame, grid: DataFrame, k: int) -> DataFrame:
+    """Every ``depth, support_weight, conflict_weight`` of the grid with four metrics, best first by ``place``.
+
+    Precision, recall within the pool, NDCG and reciprocal rank at ``k``, means over the queries
+    with a relevant candidate; then the smaller weights and the smaller depth win. ``candidates``: ``query_id, item_id,
+    rank, score, grade, same_category, wanted, supported, conflicting``; the grid is a small declared table.
+    """
+    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.nullif(F.col("wanted"), F.lit(0))), F.lit(0.0))
+    factor = F.when(F.coalesce("same_category", F.lit(True)), 1.0).otherwise(0.4)
+    score = F.round(F.col("score") * factor + F.col("support_weight") * share("supported") - F.col("conflict_weight") * share("conflicting"), 6)
+    params = ["depth", "support_weight", "conflict_weight"]
+    tried = candidates.crossJoin(F.broadcast(grid)).withColumn("in_pool", F.col("rank") <= F.col("depth")).withColumn("s", F.when(F.col("in_pool"), score))
+    place = F.row_number().over(W.partitionBy(*params, "query_id").orderBy(F.desc("in_pool"), F.desc_nulls_last("s"), "rank", "item_id"))
+    best = F.row_number().over(W.partitionBy(*params, "query_id").orderBy(F.desc("grade")))
+    ranked = tried.withColumn("r", place).withColumn("b", best)
+    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    good = (F.col("grade") >= 1).cast("int")
+    top = F.col("r") <= k
+    per_query = ranked.groupBy(*params, "query_id").agg(
+        (F.sum(F.when(top, good).otherwise(0)) / F.lit(float(k))).alias("p"), (F.sum(F.when(top, good).otherwise(0)) / F.nullif(F.sum(good), F.lit(0))).alias("rec"),
+        (F.sum(F.when(top, gain / F.log2(F.col("r") + 1.0)).otherwise(0.0)) / F.nullif(F.sum(F.when(F.col("b") <= k, gain / F.log2(F.col("b") + 1.0)).otherwise(0.0)), F.lit(0.0))).alias("n"),
+        F.max(F.when(top & (good == 1), 1.0 / F.col("r")).otherwise(0.0)).alias("m"), F.sum(good).alias("relevant"),
+    ).where("relevant > 0")
+    scored = per_query.groupBy(*params).agg(*[F.round(F.avg(a), 6).alias(b) for a, b in (("p", "precision"), ("rec", "recall"), ("n", "ndcg"), ("m", "mrr"))])
+    order = W.orderBy(*[F.desc(c) for c in ("precision", "recall", "ndcg", "mrr")], "support_weight", "conflict_weight", "depth")  # one row a parameter set
+    return scored.withColumn("place", F.row_number().over(order))

@@ -61,21 +61,27 @@ def near_hash_pairs(df: DataFrame, group: str, key: str, bits: str, distance: in
 
     ``group, id_a, id_b, distance, copies_a, copies_b``: ids are the smallest of all rows
     with the hash, so equal hashes cost nothing. Two hashes that differ in at most d bits
-    agree on one of d + 1 bands; pairs come from equal bands and are checked in full.
+    agree on two of d + 2 bands at least; each pair of bands is a key, so a key has twice a
+    band's bits and few hashes. A pair is told by the first two bands it agrees on, so it comes
+    once, and it is checked in full.
     """
     folded = df.where(F.col(bits).isNotNull()).groupBy(group, bits).agg(F.min(key).alias("id"), F.count("*").alias("copies"))
-    bands, step = distance + 1, -(-width // (distance + 1))
-    mask = (1 << step) - 1
-    band = F.array(*[F.struct(F.lit(i).alias("no"), F.shiftright(F.col(bits), i * step).bitwiseAND(F.lit(mask)).alias("value")) for i in range(bands)])
-    cut = folded.withColumn("band", F.explode(band))
+    bands, step = distance + 2, -(-width // (distance + 2))
+    masks = [(((1 << step) - 1) << (b * step)) & ((1 << 63) - 1) for b in range(bands)]
+    pairs = [(x, y) for x in range(bands) for y in range(x + 1, bands)]
+    keys = F.array(*[F.struct(F.lit(n).alias("no"), F.col(bits).bitwiseAND(F.lit(masks[x] | masks[y])).alias("value")) for n, (x, y) in enumerate(pairs)])
+    cut = folded.withColumn("band", F.explode(keys))
     a, b = cut.alias("a"), cut.alias("b")
-    apart = F.bit_count(F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}")))
+    unlike = F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}"))
+    apart = F.bit_count(unlike)
+    # the bands below the second one of the key, but for its first, all differ
+    earlier = F.element_at(F.array(*[F.array(*[F.lit(masks[m]) for m in range(y) if m != x]).cast("array<bigint>") for x, y in pairs]), F.col("a.band.no") + 1)
+    first = F.forall(earlier, lambda m: unlike.bitwiseAND(m) != 0)
     return (
         a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")))
-        .where(apart <= distance)
+        .where((apart <= distance) & first)
         .select(F.col(f"a.{group}").alias(group), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), apart.alias("distance"),
                 F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"))
-        .distinct()
     )
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wareloom.operators.positions import exact_quantiles
+
 
 def micro_rates(df: DataFrame, groups: Sequence[str], ratios: dict[str, tuple[Column, Column]], means: dict[str, Column]) -> DataFrame:
     """Ratios of sums and means per group, rounded to 6 decimals; a zero denominator gives null."""
@@ -35,15 +38,16 @@ def vote_table(votes: DataFrame, dimension: str, choice: str, choices: Sequence[
 
 
 def latency_summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Mean, interpolated P50 and P95, nearest-rank P95, extremes; nulls are left out."""
+    """Mean, interpolated P50 and P95, nearest-rank P95, extremes; nulls are left out.
+
+    Groups of any size: quantiles are exact and found by counts per bin, not by gathering a group.
+    """
     v = F.col(value)
-    exprs = [
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, 0.5), 6).alias("p50"),
-        F.round(F.percentile(v, 0.95), 6).alias("p95"),
-        F.round(F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})"), 6).alias("p95_nearest"),
-        F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"),
-    ]
-    return df.groupBy(*groups).agg(*exprs)
+    flat = df.groupBy(*groups).agg(F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.min(v), 6).alias("low"), F.round(F.max(v), 6).alias("high"))
+    found = exact_quantiles(df, groups, value, {"p50": (0.5, True), "p95": (0.95, True), "p95_nearest": (0.95, False)})
+    quantiles = found.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p95_nearest")])
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)], F.lit(True))
+    return flat.join(quantiles, same, "left").select(*groups, "n", "mean", "p50", "p95", "p95_nearest", "low", "high")
 
 
 def running_best(df: DataFrame, groups: Sequence[str], order: str, value: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from wareloom.operators.validate import missing_fields, raise_if_any, repeated_keys
+from wareloom.sources.json_object import file_system
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -74,3 +79,63 @@ def write_related(outputs: dict[str, DataFrame], root: str, version: str) -> str
     manifest = spark.createDataFrame([(version, sorted(outputs))], "version string, outputs array<string>")
     append_log(manifest, f"{root}/_manifest")
     return f"{root}/{version}"
+
+
+def load_config(path: str, required: Sequence[str]) -> dict:
+    """A JSON object from any file system; a missing key or another kind of value is an error."""
+    system, inner = file_system(path)
+    with system.open_input_stream(inner) as stream:
+        config = json.loads(stream.read().decode("utf-8-sig"))
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} holds no object")
+    lacking = [key for key in required if key not in config]
+    if lacking:
+        raise ValueError(f"keys missing from {path}: {lacking}")
+    return config
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of exactly one row as one readable JSON file, which must not exist."""
+    rows = df.limit(2).toJSON().collect()
+    if len(rows) != 1:
+        raise ValueError("a report has exactly one row")
+    system, inner = file_system(path)
+    if system.get_file_info(inner).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    with system.open_output_stream(inner) as stream:
+        stream.write((json.dumps(json.loads(rows[0]), ensure_ascii=False, indent=2) + "\n").encode())
+
+
+def replace_output(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write beside an output and put the new one in its place by two renames; a failed write leaves the old one."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    new, old = f"{path}._new_{mark}", f"{path}._old_{mark}"
+    write_new(df, new, fmt)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = system.exists(hadoop.Path(path))
+    if there and not system.rename(hadoop.Path(path), hadoop.Path(old)):
+        raise OSError(f"{path} cannot be moved away")
+    if not system.rename(hadoop.Path(new), hadoop.Path(path)):
+        raise OSError(f"{new} cannot be moved to {path}")
+    if there:
+        system.delete(hadoop.Path(old), True)
+
+
+def existing_files(df: DataFrame, path: str) -> DataFrame:
+    """Add ``exists``: whether the file a row names is there; null and blank names are not."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for name in batch[path]:
+                if not name or not name.strip():
+                    found.append(False)
+                    continue
+                system, inner = file_system(name)
+                found.append(system.get_file_info(inner).type == fs.FileType.File)
+            yield batch.assign(exists=found)
+
+    return df.mapInPandas(look, StructType([*df.schema.fields, StructType().add("exists", "boolean").fields[0]]))
+

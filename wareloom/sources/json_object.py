@@ -1,19 +1,20 @@
 """A giant JSON file that is one object ``{id: record}``, as a Spark data source.
 
 The file is decoded incrementally, so neither the file nor its parse tree has to fit in
-memory; a record is bounded. One file is one partition (an object cannot be split safely);
-a folder of files is read in parallel. Repeated ids are yielded each time. A truncated
+memory; a record is bounded. Paths may be local or of any file system known to pyarrow
+(``hdfs://``, ``s3://``, ``gs://``). One file is one partition (an object cannot be split
+safely); a folder of files is read in parallel. Repeated ids are yielded each time. A truncated
 file, a trailing comma, content after the object, a value that is not an object and a
 record over the limit are errors.
 """
 
 from __future__ import annotations
 
-import glob
+import codecs
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -21,6 +22,11 @@ from pyspark.sql.types import StructType
 CHUNK_CHARS, RECORD_CHARS = 1 << 20, 4 << 20
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system a path belongs to, local for plain paths, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _Window:
     """A sliding window over a text file: what has been parsed falls away, what is missing is read."""
 
@@ -69,8 +75,9 @@ class _Window:
 def iter_object(path: str, chunk: int = CHUNK_CHARS, limit: int = RECORD_CHARS) -> Iterator[tuple[str, dict]]:
     """``(id, record)`` in file order."""
     decoder = json.JSONDecoder()
-    with open(path, encoding="utf-8-sig") as stream:
-        window = _Window(stream, chunk, limit)
+    system, inner = file_system(path)
+    with system.open_input_stream(inner) as raw:
+        window = _Window(codecs.getreader("utf-8-sig")(raw), chunk, limit)
         window.take("{")
         first = True
         while window.peek() != "}":
@@ -96,8 +103,12 @@ class _Reader(DataSourceReader):
         self.chunk, self.limit = int(options.get("chunk", CHUNK_CHARS)), int(options.get("limit", RECORD_CHARS))
 
     def partitions(self) -> list[InputPartition]:
-        files = sorted(glob.glob(os.path.join(self.path, "*.json"))) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(f) for f in files]
+        system, inner = file_system(self.path)
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            return [InputPartition(self.path)]
+        scheme = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
+        names = sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.type == fs.FileType.File and f.path.endswith(".json"))
+        return [InputPartition(scheme + name) for name in names]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
         for key, record in iter_object(partition.value, self.chunk, self.limit):

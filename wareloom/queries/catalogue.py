@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wareloom.functions.hashing import map_fingerprint
 from wareloom.functions.replies import FIGURE_PATTERN
-from wareloom.functions.text import letters_only
+from wareloom.functions.text import letters_only, width_map
 from wareloom.functions.urls import canonical_url, host_allowed, id_from_path
 from wareloom.operators import census, dedup, facts, packed, review, validate
 from wareloom.plans import curation
@@ -111,7 +111,17 @@ def content_fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_wins(marked, "fingerprint", "row_id")
 
 
-@query()
+# one row after the other, with what was kept so far: the rule as it is stated
+_GREEDY = r"""WITH RECURSIVE feed AS (SELECT row_number() OVER (ORDER BY row_id) AS i, row_id, product_id, sha256(attributes) AS content, {image} AS image FROM pv_parser),
+    walk AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS ordinal, ['']::VARCHAR[] AS p, ['']::VARCHAR[] AS c, ['']::VARCHAR[] AS m, NULL::VARCHAR AS reason
+      UNION ALL SELECT i, ordinal, CASE WHEN reason IS NULL THEN list_append(p, coalesce(product_id, '')) ELSE p END, CASE WHEN reason IS NULL THEN list_append(c, coalesce(content, '')) ELSE c END,
+        CASE WHEN reason IS NULL THEN list_append(m, coalesce(image, '')) ELSE m END, reason
+      FROM (SELECT f.i, f.row_id AS ordinal, w.p, w.c, w.m, f.product_id, f.content, f.image, CASE WHEN coalesce(list_contains(w.p, f.product_id), false) THEN 'product_id'
+        WHEN coalesce(list_contains(w.c, f.content), false) THEN 'content' WHEN coalesce(list_contains(w.m, f.image), false) THEN 'image' END AS reason FROM walk w JOIN feed f ON f.i = w.i + 1))
+    SELECT ordinal AS row_id, reason IS NULL AS kept, reason FROM walk WHERE ordinal IS NOT NULL"""
+
+
+@query(_GREEDY.format(image=f"sha256({_CANON})"))
 def greedy_multikey_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent; checked against a sequential model in the tests."""
     feed = table(spark, sf_dir, "pv_parser", ["row_id", "product_id", "attributes", "url"]).select(
@@ -162,9 +172,16 @@ def comparable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", F.regexp_replace(F.lower("title"), r"[^0-9a-z一-鿿]+", "").alias("form"))
 
 
-@query()
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    f"""SELECT form, count(*) AS rows, min(row_id) AS first FROM (SELECT row_id, regexp_replace(lower(translate(title, {_literal(width_map()[0])}, {_literal(width_map()[1])})), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS form
+        FROM week2_train_consistency_review WHERE title IS NOT NULL) GROUP BY 1"""
+)
 def comparable_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Width-folded comparable forms and how many rows share each; no SQL counterpart for the folding."""
+    """Width-folded comparable forms and how many rows share each."""
     rows = table(spark, sf_dir, "week2_train_consistency_review", ["row_id", "title"]).where("title IS NOT NULL")
     return rows.select("row_id", letters_only(F.col("title")).alias("form")).groupBy("form").agg(F.count("*").alias("rows"), F.min("row_id").alias("first"))
 

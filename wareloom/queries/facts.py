@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.functions.replies import listed_points, reply_status
+from wareloom.functions.replies import FIGURE_PATTERN, listed_points, reply_status
 from wareloom.operators import dedup, facts, grounding, paired, retrieval, validate
 from wareloom.queries.registry import query
 from wareloom.session import table
@@ -214,7 +214,11 @@ def reply_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", F.coalesce(reply_status(F.col("raw_output")), F.lit("no_object")).alias("status"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT row_id, trim(messages[-1].content) AS text FROM lora_data WHERE task_type = 'selling_points' AND len(messages) > 0)
+        SELECT row_id, CASE WHEN text IS NULL THEN NULL WHEN starts_with(text, '[') AND json_valid(text) THEN json_array_length(text)
+          ELSE len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[ \t]*(?:[-*·•]|[0-9]+[.、)])[ \t]*', ''))), lambda x: x <> '')) END::INT AS points FROM t"""
+)
 def listed_points_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of list replies in JSON, bulleted or numbered form."""
     rows = table(spark, sf_dir, "lora_data", ["row_id", "task_type", "messages"]).where("task_type = 'selling_points' AND size(messages) > 0")
@@ -247,9 +251,13 @@ def grounding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.status(texts, grounding.findings(texts, spark.createDataFrame(_PATTERNS, "class string, pattern string")))
 
 
-@query()
+@query(
+    f"""WITH f AS (SELECT row_id AS text_id, list_distinct(list_transform(regexp_extract_all(raw_output, '{FIGURE_PATTERN}'), lambda x: lower(x))) AS said,
+          list_transform(regexp_extract_all(generation_input, '{FIGURE_PATTERN}'), lambda x: lower(x)) AS known FROM smoke_test WHERE raw_output IS NOT NULL AND generation_input IS NOT NULL)
+        SELECT text_id, unnest(list_filter(said, lambda x: NOT list_contains(known, x))) AS figure FROM f"""
+)
 def unsupported_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures of a reply that its input lacks; checked on fixtures."""
+    """Figures of a reply that its input lacks."""
     return grounding.unsupported_figures(_texts(spark, sf_dir).withColumnRenamed("facts", "source"))
 
 

@@ -331,9 +331,12 @@ def model_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_VALUES_SQL}, f AS (SELECT name, value, min(record_id) AS first FROM v WHERE value IS NOT NULL GROUP BY 1, 2)
-        SELECT name, string_agg(value, '|' ORDER BY first, value) AS item_values FROM f GROUP BY 1"""
+    f"""WITH {_PAIRS_SQL}, v AS (SELECT record_id, name, unnest(given) AS value, generate_subscripts(given, 1) AS pos FROM pairs),
+        f AS (SELECT record_id, name, value, min(pos) AS first FROM v WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+        SELECT record_id, name, string_agg(value, '|' ORDER BY first, value) AS item_values FROM f GROUP BY 1, 2"""
 )
 def ordered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup.ordered_values(_values(spark, sf_dir), ["name"], "value", "record_id")
-    return found.select("name", F.array_join("values", "|").alias("item_values"))
+    """Distinct values of every attribute of a record, in the order they were first given."""
+    listed = _records(spark, sf_dir).select("record_id", F.explode("attributes").alias("name", "given")).select("record_id", "name", F.posexplode("given").alias("at", "value"))
+    found = dedup.ordered_values(listed, ["record_id", "name"], "value", "at")
+    return found.select("record_id", "name", F.array_join("values", "|").alias("item_values"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wareloom.functions.text import letters_only, width_map
 from wareloom.operators import census, dedup, sampling, validate
 from wareloom.queries.registry import query
 from wareloom.session import table
@@ -14,11 +15,11 @@ SPLITS = ("train", "validation", "test")
 
 def _split_name(col: str):
     plain = F.lower(F.trim(col))
-    return F.when(plain.isin("train", "training"), "train").when(plain.isin("val", "valid", "validation"), "validation").when(plain == "test", "test")
+    return F.when(plain.isin("train", "training", "trn"), "train").when(plain.isin("val", "valid", "validation", "dev"), "validation").when(plain.isin("test", "testing", "eval"), "test")
 
 
-_SPLIT_SQL = """CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train'
-    WHEN lower(trim(split)) IN ('val', 'valid', 'validation') THEN 'validation' WHEN lower(trim(split)) = 'test' THEN 'test' END"""
+_SPLIT_SQL = """CASE WHEN lower(trim(split)) IN ('train', 'training', 'trn') THEN 'train'
+    WHEN lower(trim(split)) IN ('val', 'valid', 'validation', 'dev') THEN 'validation' WHEN lower(trim(split)) IN ('test', 'testing', 'eval') THEN 'test' END"""
 
 
 @query(
@@ -136,15 +137,24 @@ def epoch_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.epoch_groups(table(spark, sf_dir, "lora_data", ["row_id"]), "row_id", epoch=1, size=8)
 
 
-_BM = f"""SELECT row_id, product_id, {_SPLIT_SQL} AS split,
-    regexp_replace(lower(map_extract(attributes, '品牌')[1][1]), '[^0-9a-z一-鿿]+', '', 'g') AS brand,
-    regexp_replace(lower(map_extract(attributes, '型号')[1][1]), '[^0-9a-z一-鿿]+', '', 'g') AS model FROM lora_data"""
+#: Spellings of the two attributes that identify a product (declared).
+_BRANDS, _MODELS = ("品牌", "牌子", "Brand"), ("型号", "产品型号", "货号")
+
+
+def _plain_sql(names: tuple[str, ...]) -> str:
+    first = ", ".join(f"map_extract(attributes, '{n}')[1][1]" for n in names)
+    source, target = (text.replace("'", "''") for text in width_map())
+    return f"regexp_replace(lower(translate(coalesce({first}), '{source}', '{target}')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+_BM = f"SELECT row_id, product_id, {_SPLIT_SQL} AS split, {_plain_sql(_BRANDS)} AS brand, {_plain_sql(_MODELS)} AS model FROM lora_data"
 
 
 def _brand_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = lambda k: F.regexp_replace(F.lower(F.try_element_at(F.try_element_at("attributes", F.lit(k)), F.lit(1))), r"[^0-9a-z一-鿿]+", "")
+    """Brand and model in comparable letters, whatever the attribute is called and however wide it is set."""
+    first = lambda names: letters_only(F.coalesce(*[F.try_element_at(F.try_element_at("attributes", F.lit(n)), F.lit(1)) for n in names]))
     rows = table(spark, sf_dir, "lora_data", ["row_id", "product_id", "split", "attributes"])
-    return rows.select("row_id", "product_id", _split_name("split").alias("split"), first("品牌").alias("brand"), first("型号").alias("model"))
+    return rows.select("row_id", "product_id", _split_name("split").alias("split"), first(_BRANDS).alias("brand"), first(_MODELS).alias("model"))
 
 
 @query(

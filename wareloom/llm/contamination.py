@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wareloom.functions.text import letters_only, ngrams
-from wareloom.session import spread
+from wareloom.session import checkpoint, spread
 
 #: Characters of a window.
 WINDOW = 10
@@ -72,7 +72,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     Null, blank and letterless texts on either side match nothing; repeated documents are
     reported each; only the named columns of the inputs are read.
     """
-    hits = _hits(docs, doc_id, text, item_grams(items, item_id, text, window), window, positions=False)
+    return _covered(docs, doc_id, text, item_grams(items, item_id, text, window), window, coverage)
+
+
+def _covered(docs: DataFrame, doc_id: str, text: str, grams: DataFrame, window: int, coverage: float) -> DataFrame:
+    hits = _hits(docs, doc_id, text, grams, window, positions=False)
     return (
         hits.groupBy("doc_id", "item_id")
         .agg((F.sum("weight") / F.first("total")).alias("coverage"))
@@ -83,8 +87,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 def leak_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
                window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, start, length``: merged leaked spans, counted in comparable characters."""
-    grams = item_grams(items, item_id, text, window)
-    found = leaks(docs, items, doc_id, item_id, text, window, coverage)
+    # both are read several times below
+    grams = checkpoint(item_grams(items, item_id, text, window))
+    found = checkpoint(_covered(docs, doc_id, text, grams, window, coverage))
     suspects = docs.join(found.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_semi")
     hits = _hits(suspects, doc_id, text, grams, window, positions=True).join(found, ["doc_id", "item_id"], "left_semi")
     order = W.partitionBy("doc_id", "item_id").orderBy("pos")
@@ -109,14 +114,15 @@ def cut_leaks(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: s
         for batch in batches:
             cleaned, counts = [], []
             for raw, found in zip(batch["text"], batch["spans"]):
-                gone = set()
-                for span in found:
-                    gone.update(range(span["start"], span["start"] + span["length"]))
-                at, kept, cutting, n_cut = 0, [], False, 0
+                # spans of several items may overlap: sorted, they are walked beside the text
+                marks = sorted((span["start"], span["start"] + span["length"]) for span in found)
+                at, kept, cutting, n_cut, until, nth = 0, [], False, 0, 0, 0
                 for ch in raw:
                     if any(unicodedata.category(c)[0] in "LN" for c in unicodedata.normalize("NFKC", ch).lower()):
-                        n_cut += at in gone and not cutting
-                        cutting = at in gone
+                        while nth < len(marks) and marks[nth][0] <= at:
+                            until, nth = max(until, marks[nth][1]), nth + 1
+                        n_cut += at < until and not cutting
+                        cutting = at < until
                         at += 1
                     if not cutting:
                         kept.append(ch)

@@ -61,3 +61,10 @@ def test_marks_in_any_packing_and_spelling(spark):
     rows = spark.createDataFrame([(1, '["牌子", "电压/频率"]', "CONFLICT"), (2, "「品牌」；颜色", "REVIEW"), (3, " ", "PASS"), (4, None, "REVIEW")], "record_id int, blocked_fields string, status string")
     got = {(r["record_id"], r["field"], r["status"]) for r in facts.audit_marks(rows, policy).collect()}
     assert got == {(1, "品牌", "CONFLICT"), (1, "电压/频率", "CONFLICT"), (2, "品牌", "REVIEW"), (2, "颜色", "REVIEW")}
+
+
+def test_image_metadata(spark):
+    rows = [(800, 600, "JPEG", 9000), (63, 600, "jpeg", 1), (9000, 9000, "png", 1), (800, 600, "gif", 1), (800, 600, "png", 20 << 20), (None, 600, "png", 1), (800, 600, "png", 0)]
+    df = spark.createDataFrame(rows, "w int, h int, k string, s int").coalesce(1)
+    got = [r["x"] for r in df.select(audit.image_issue(df.w, df.h, df.k, df.s, ("jpeg", "png", "webp")).alias("x")).collect()]
+    assert got == [None, "too_small", "too_many_pixels", "format", "size", "unknown", "size"]

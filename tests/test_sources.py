@@ -116,3 +116,18 @@ def test_contracts(spark):
     assert files.slice_rows(df, "n", 1, 2).count() == 2
     with pytest.raises(ValueError):
         files.slice_rows(df, "n", 1, 3)
+
+
+def test_vector_index_is_checked_when_read(spark, tmp_path):
+    rows = [(i, [float(i), 3.0, 4.0]) for i in range(1, 30)] + [(90, None), (91, [0.0] * 3), (92, [1.0])]
+    path = str(tmp_path / "index")
+    files.write_vector_index(spark.createDataFrame(rows, "id bigint, embedding array<float>"), path, 3)
+    got = files.read_vector_index(spark, path)
+    assert got.count() == 29 and abs(sum(x * x for x in got.where("id = 7").head()["embedding"]) - 1) < 1e-6
+    (tmp_path / "index" / "index.json").write_text('{"rows": 30, "ids": 30, "dim": 3}')
+    with pytest.raises(ValueError):
+        files.read_vector_index(spark, path)
+    twice = str(tmp_path / "twice")
+    files.write_vector_index(spark.createDataFrame(rows[:3] + rows[:1], "id bigint, embedding array<float>"), twice, 3)
+    with pytest.raises(ValueError):
+        files.read_vector_index(spark, twice)

@@ -79,3 +79,12 @@ def require_not_negative(df: DataFrame, column: str) -> DataFrame:
     """The table itself, failing at run time on the first negative or missing value."""
     bad = F.col(column).isNull() | (F.col(column) < 0)
     return df.withColumn(column, F.when(bad, F.raise_error(F.lit(f"{column} is negative or missing")).cast("double")).otherwise(F.col(column)))
+
+
+def image_issue(width: Column, height: Column, kind: Column, size: Column, kinds: Sequence[str], least_side: int = 64, most_pixels: int = 24_000_000, most_bytes: int = 12 << 20) -> Column:
+    """The first thing wrong with an image by its metadata, or null: unknown, too small, too many pixels, format, too heavy."""
+    unknown = width.isNull() | height.isNull() | kind.isNull() | size.isNull()
+    return (
+        F.when(unknown, "unknown").when(F.least(width, height) < least_side, "too_small").when(width.cast("long") * height.cast("long") > most_pixels, "too_many_pixels")
+        .when(~F.lower(kind).isin(*kinds), "format").when((size > most_bytes) | (size <= 0), "size")
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wareloom.functions import vectors as V
 from wareloom.operators.validate import missing_fields, raise_if_any, repeated_keys
 from wareloom.sources.json_object import file_system
 
@@ -139,3 +140,24 @@ def existing_files(df: DataFrame, path: str) -> DataFrame:
 
     return df.mapInPandas(look, StructType([*df.schema.fields, StructType().add("exists", "boolean").fields[0]]))
 
+
+
+def write_vector_index(vectors: DataFrame, path: str, dim: int) -> None:
+    """Store unit vectors (``id, embedding``) for exact search, with a description the reader checks.
+
+    Unusable vectors are left out; rows are sorted within their files, so ranges of ids are skipped.
+    """
+    sound = vectors.select("id", V.doubles(F.col("embedding")).alias("v")).where(V.usable(F.col("v"), dim))
+    write_new(sound.select("id", V.normalise(F.col("v")).cast("array<float>").alias("embedding")).sortWithinPartitions("id"), f"{path}/vectors")
+    stored = vectors.sparkSession.read.parquet(f"{path}/vectors")
+    write_report(stored.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.lit(dim).alias("dim")), f"{path}/index.json")
+
+
+def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    """The stored vectors; an index whose rows, ids or lengths are not as described is an error."""
+    about = load_config(f"{path}/index.json", ["rows", "ids", "dim"])
+    stored = spark.read.parquet(f"{path}/vectors")
+    found = stored.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.count_if(F.size("embedding") != about["dim"]).alias("wrong")).head()
+    if (found["rows"], found["ids"], found["wrong"]) != (about["rows"], about["ids"], 0) or found["rows"] != found["ids"]:
+        raise ValueError(f"the index at {path} is not as described: {about} and {found.asDict()}")
+    return stored

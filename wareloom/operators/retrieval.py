@@ -14,6 +14,8 @@ from wareloom.functions import vectors as V
 
 #: Most query values (rows x dimensions) to broadcast.
 BROADCAST_VALUES = 8_000_000
+#: Rows of either side of a block of pairs.
+PAIR_BLOCK = 8_192
 
 
 def exact_top_k(queries: DataFrame, gallery: DataFrame, k: int, dim: int = 64, exclude_self: bool = True) -> DataFrame:
@@ -69,6 +71,43 @@ def exact_top_k(queries: DataFrame, gallery: DataFrame, k: int, dim: int = 64, e
     return found
 
 
+def category_judgments(queries: DataFrame, items: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """``query_id, item_id, product_id, place``: all items of a query's category but those of its own product, numbered.
+
+    ``queries``: ``query_id, category, own``; ``items``: ``item_id, category, product_id``. Places
+    follow product and item. The items are numbered once a category; a place is that number less
+    the items of the own product before it, which stand together, so no pair is sorted or
+    shuffled. Both sides are cut into blocks, so no category can swell a task. Equal rows of one
+    query take places side by side; only queries that stand for several categories or products are
+    numbered pair by pair.
+    """
+    items = items.where("category IS NOT NULL AND product_id IS NOT NULL")
+    asked = queries.where("category IS NOT NULL AND own IS NOT NULL").groupBy("query_id", "category", "own").agg(F.count("*").alias("copies"))
+    asked = asked.withColumn("meanings", F.count("*").over(W.partitionBy("query_id")))
+    numbered = items.withColumn("number", F.row_number().over(W.partitionBy("category").orderBy("product_id", "item_id")))
+    own = numbered.groupBy("category", F.col("product_id").alias("own")).agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    single = asked.where("meanings = 1").drop("meanings").join(own, ["category", "own"], "left")
+
+    blocks = lambda df, name: df.groupBy("category").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    cells = blocks(items, "across").join(blocks(asked, "down"), "category")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("query_id", "own"), F.col(n)).cast("int")
+    at, parts = ["category", "x", "y"], int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a few small rows make many pairs: the number of tasks must not follow their size
+    left = single.join(cells, "category").select("query_id", "copies", "first", "last", "category", part("down").alias("y"), every("across").alias("x")).repartition(parts, *at)
+    right = numbered.join(cells, "category").select("item_id", "product_id", "number", "category", ((F.col("number") - 1) / block).cast("int").alias("x"), every("down").alias("y")).repartition(parts, *at)
+    place = F.col("number") - F.when(F.col("number") > F.col("last"), F.col("last") - F.col("first") + 1).otherwise(0)
+    once = left.join(right, at).where("first IS NULL OR number < first OR number > last").select("query_id", "item_id", "product_id", place.alias("n"), "copies")
+    beside = F.sequence((F.col("n") - 1) * F.col("copies") + 1, F.col("n") * F.col("copies"))
+    columns = ["query_id", "item_id", "product_id"]
+    plain = once.where("copies = 1").select(*columns, F.col("n").cast("int").alias("place"))
+    repeated = once.where("copies > 1").select(*columns, F.explode(beside.cast("array<int>")).alias("place"))
+
+    order = F.row_number().over(W.partitionBy("query_id").orderBy("product_id", "item_id"))
+    mixed = asked.where("meanings > 1").join(items, "category").where("product_id <> own").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return plain.unionByName(repeated).unionByName(mixed.select(*columns, order.alias("place")))
+
+
 def ranking_metrics(ranking: DataFrame, ideal: DataFrame, k: int, relevant: int = 1) -> DataFrame:
     """Per-query precision, recall, reciprocal rank and NDCG at ``k``, rounded to 6 decimals.
 

@@ -163,14 +163,12 @@ def rank_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def relevance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gallery picture of the query's category but its own product's, numbered, for all test queries."""
-    from pyspark.sql import Window as W
-
-    asked = table(spark, sf_dir, "retrieval_test_queries", ["row_id", "category_l2", "query_image_path"])
     own = F.regexp_extract("query_image_path", r"([0-9]+)\.", 1)
-    items = table(spark, sf_dir, "feature_library", ["vec_id", "category_l2", "product_id"])
-    pairs = asked.withColumn("own", own).join(items, "category_l2").where("product_id <> own")
-    place = F.row_number().over(W.partitionBy("row_id").orderBy("product_id", "vec_id"))
-    return pairs.select("row_id", "vec_id", F.col("product_id").alias("item_id"), place.alias("place"))
+    asked = table(spark, sf_dir, "retrieval_test_queries").select(F.col("row_id").alias("query_id"), F.col("category_l2").alias("category"), own.alias("own"))
+    items = table(spark, sf_dir, "feature_library").select(F.col("vec_id").alias("item_id"), F.col("category_l2").alias("category"), "product_id")
+    found = retrieval.category_judgments(asked, items)
+    return found.select(F.col("query_id").alias("row_id"), F.col("item_id").alias("vec_id"), F.col("product_id").alias("item_id"), "place")
+
 
 
 _ALIASES = [("壶", "电热水壶", 1), ("电热水壶", "电热水壶", 2), ("灯", "桌面台灯", 3), ("台灯", "桌面台灯", 4), ("音箱", "蓝牙音箱", 5), ("音响", "蓝牙音箱", 6), ("风扇", "手持风扇", 7), ("加湿器", "加湿器", 8)]
